@@ -11,32 +11,46 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SHAPE = r"(?i)^\s*(POINT|POLYGON|MULTIPOLYGON)\s*\(.*\)\s*$"
+_SHAPE = r"(?i)^(POINT|POLYGON|MULTIPOLYGON)\(.*\)$"
 _NUMBER_PAIR = r"(-?\d+\.?\d*)\s+(-?\d+\.?\d*)"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_wkt(c: Column) -> Column:
     """POINT, POLYGON or MULTIPOLYGON; anything unreadable is null."""
-    body = F.regexp_replace(F.regexp_replace(c, r"^[^(]*\(+\s*", ""), r"[\s)]+$", "")
+    tight = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), " ?([(),]) ?", "$1")
 
     def vertex(pair: Column) -> Column:
-        xy = F.split(F.trim(pair), r"\s+")
-        return F.struct(
-            F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y")
+        return bind(
+            F.split(pair, " "),
+            lambda xy: F.struct(
+                F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y")
+            ),
         )
 
-    def ring(text: Column) -> Column:
-        return F.transform(F.split(text, ","), vertex)
+    def polygons(text: Column) -> Column:
+        body = F.regexp_replace(text, r"^[^(]*\(+|\)+$", "")
+        return F.transform(
+            F.split(body, r"\)\),\(\("),
+            lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), vertex)),
+        )
 
-    polygons = F.transform(
-        F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), lambda p: F.transform(F.split(p, r"\)\s*,\s*\("), ring)
-    )
-    points = F.flatten(F.flatten(polygons))
-    readable = ~F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
-    is_point = F.upper(F.trim(c)).startswith("POINT")
-    closed = F.forall(F.flatten(polygons), lambda r: F.size(r) >= 4)
-    shaped = F.when(is_point, F.size(points) == 1).otherwise(closed)
-    return F.when(c.rlike(_SHAPE) & readable & shaped, polygons)
+    def checked(g: Column, text: Column) -> Column:
+        rings = F.flatten(g)
+        readable = F.forall(rings, lambda r: F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+        closed = F.forall(rings, lambda r: F.size(r) >= 4)
+        single = (F.size(rings) == 1) & F.forall(rings, lambda r: F.size(r) == 1)
+        return F.when(readable & F.when(F.upper(text).startswith("POINT"), single).otherwise(closed), g)
+
+    def shaped(text: Column) -> Column:
+        known = F.when(text.rlike(_SHAPE), text)
+        return F.when(known.isNotNull(), bind(polygons(text), lambda g: checked(g, text)))
+
+    return bind(tight, shaped)
 
 
 def to_wkt(g: Column) -> Column:
@@ -68,11 +82,10 @@ def vertex_count(g: Column) -> Column:
 
 
 def map_vertices(g: Column, fn) -> Column:
-    """Apply ``fn(x, y) -> (x, y)`` to every vertex."""
+    """Apply ``fn(x, y) -> struct<x, y>`` to every vertex."""
 
     def move(p: Column) -> Column:
-        x, y = fn(p["x"], p["y"])
-        return F.struct(x.alias("x"), y.alias("y"))
+        return fn(p["x"], p["y"])
 
     return F.transform(g, lambda poly: F.transform(poly, lambda r: F.transform(r, move)))
 
@@ -97,27 +110,33 @@ def _series() -> tuple[float, list[float]]:
     return radius, alpha
 
 
-def utm22s(lon: Column, lat: Column) -> tuple[Column, Column]:
+def utm22s(lon: Column, lat: Column) -> Column:
     """Degrees to metres (EPSG:31982) by the Kruger series, built-in functions only."""
     radius, alpha = _series()
     ecc = math.sqrt(_F * (2 - _F))
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.atanh(sin_lat * ecc) * ecc)
-    dlon = F.radians(lon - _LON0)
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.asinh(F.sin(dlon) / F.sqrt(t * t + F.cos(dlon) * F.cos(dlon)))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, start=1):
-        east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-        north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
-    return east * (_K0 * radius) + _FE, north * (_K0 * radius) + _FN
+
+    def series(a: Column) -> Column:
+        east, north = a["eta"], a["xi"]
+        for j, k in enumerate(alpha, start=1):
+            east = east + F.cos(a["xi"] * (2 * j)) * F.sinh(a["eta"] * (2 * j)) * k
+            north = north + F.sin(a["xi"] * (2 * j)) * F.cosh(a["eta"] * (2 * j)) * k
+        return F.struct((east * (_K0 * radius) + _FE).alias("x"), (north * (_K0 * radius) + _FN).alias("y"))
+
+    def angles(v: Column) -> Column:
+        xi = F.atan2(v["t"], v["c"])
+        eta = F.asinh(v["s"] / F.sqrt(v["t"] * v["t"] + v["c"] * v["c"]))
+        return bind(F.struct(xi.alias("xi"), eta.alias("eta")), series)
+
+    sin_lat, dlon = F.sin(F.radians(lat)), F.radians(lon - _LON0)
+    conformal = bind(sin_lat, lambda s: F.sinh(F.atanh(s) - F.atanh(s * ecc) * ecc))
+    return bind(F.struct(conformal.alias("t"), F.sin(dlon).alias("s"), F.cos(dlon).alias("c")), angles)
 
 
 def plane(metres_per_degree: float = 111320.0):
     """Equal scale on both axes: boxes stay boxes, so plain SQL can check results."""
 
-    def project(x: Column, y: Column) -> tuple[Column, Column]:
-        return x * metres_per_degree, y * metres_per_degree
+    def project(x: Column, y: Column) -> Column:
+        return F.struct((x * metres_per_degree).alias("x"), (y * metres_per_degree).alias("y"))
 
     return project
 
@@ -238,18 +257,25 @@ def fingerprint(layer: Column, label: Column, wkt: Column) -> Column:
 
 
 def prepare(df: DataFrame, wkt: str = "geom_wkt", crs: str = "utm22s") -> DataFrame:
-    """Add projected geometry ``geom``, bounds and ``is_box`` for the spatial join."""
-    project = PROJECTIONS[crs]
-    df = df.withColumn("geom", map_vertices(parse_wkt(F.col(wkt)), project)).where(F.col("geom").isNotNull())
-    df = df.withColumns(bounds(F.col("geom")))
-    pts = vertices(F.col("geom"))
-    on_edge = F.forall(
-        pts,
-        lambda p: p["x"].isin(F.col("xmin"), F.col("xmax")) & p["y"].isin(F.col("ymin"), F.col("ymax")),
+    """Add what the spatial join reads: flat projected coordinates ``xs``/``ys``, signed
+    ring sizes (negative for holes), bounds and ``is_box``; all null for unreadable text."""
+    df = df.withColumn("_g", map_vertices(parse_wkt(F.col(wkt)), PROJECTIONS[crs]))
+    signed = lambda p: F.transform(p, lambda r, i: F.when(i == 0, F.size(r)).otherwise(-F.size(r)))
+    df = df.withColumn("_p", vertices(F.col("_g"))).withColumns(
+        {
+            "xs": F.transform("_p", lambda p: p["x"]),
+            "ys": F.transform("_p", lambda p: p["y"]),
+            "sizes": F.flatten(F.transform("_g", signed)),
+        }
+    )
+    df = df.drop("_g", "_p").withColumns(
+        {"xmin": F.array_min("xs"), "ymin": F.array_min("ys"), "xmax": F.array_max("xs"), "ymax": F.array_max("ys")}
     )
-    sides = F.forall(
-        F.zip_with(F.slice(pts, 1, 4), F.slice(pts, 2, 4), lambda p, q: (p["x"] == q["x"]) != (p["y"] == q["y"])),
-        lambda ok: ok,
+    on_edge = F.forall("xs", lambda x: x.isin(F.col("xmin"), F.col("xmax"))) & F.forall(
+        "ys", lambda y: y.isin(F.col("ymin"), F.col("ymax"))
     )
-    box = on_edge & F.when(F.size(pts) == 1, F.lit(True)).when(F.size(pts) == 5, sides).otherwise(F.lit(False))
-    return df.withColumn("is_box", box)
+    step = lambda c: F.zip_with(F.slice(c, 1, 4), F.slice(c, 2, 4), lambda a, b: a == b)
+    sides = F.forall(F.zip_with(step("xs"), step("ys"), lambda a, b: a != b), lambda ok: ok)
+    n = F.size("xs")
+    box = F.when(n == 1, True).when((n == 5) & on_edge, sides).otherwise(False)
+    return df.withColumn("is_box", F.when(F.col("xs").isNotNull(), box))

@@ -12,15 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MEASURES = "intersects boolean, area double, distance double"
-
-
-def flat(g: Column) -> list[Column]:
-    """Arrow-friendly parts of a geometry: xs, ys, ring sizes (negative for holes)."""
-    pts = F.flatten(F.flatten(g))
-    sizes = F.flatten(F.transform(g, lambda p: F.transform(p, lambda r, i: F.when(i == 0, F.size(r)).otherwise(-F.size(r)))))
-    return [F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"]), sizes]
+MEASURES = T.StructType(
+    [
+        T.StructField("intersects", T.BooleanType()),
+        T.StructField("area", T.DoubleType()),
+        T.StructField("distance", T.DoubleType()),
+    ]
+)
 
 
 def _edges(xs, ys, sizes):
@@ -127,7 +127,7 @@ def measure(ax, ay, ar, bx, by, br, need_area: bool = True):
 def pair_measures(
     ax: pd.Series, ay: pd.Series, ar: pd.Series, bx: pd.Series, by: pd.Series, br: pd.Series
 ) -> pd.DataFrame:
-    rows = [measure(*parts) for parts in zip(ax, ay, ar, bx, by, br)]
+    rows = [(None, None, None) if parts[0] is None else measure(*parts) for parts in zip(ax, ay, ar, bx, by, br)]
     return pd.DataFrame(rows, columns=["intersects", "area", "distance"])
 
 

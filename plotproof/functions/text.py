@@ -8,43 +8,52 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotproof.functions.geometry import bind
+
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Replacement tables derived from the Unicode compatibility decomposition."""
+    """Replacement tables derived from the Unicode compatibility decomposition.
+
+    Latin letters and combining marks go to a short ``translate`` table; what is
+    rarer (ligatures, fractions, full-width forms, ...) goes to a map.
+    """
     single: dict[str, str] = {}
     dropped: list[str] = []
-    expanded: dict[str, str] = {}
+    rare: dict[str, str] = {}
     for block in (range(0x80, 0x3100), range(0xFB00, 0xFB07), range(0xFF01, 0xFFEF)):
         for code in block:
             ch = chr(code)
             base = "".join(p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p)).lower()
             if base == ch:
                 continue
-            if len(base) == 1:
-                single[ch] = base
-            elif not base:
+            if not base and code < 0x370:
                 dropped.append(ch)
+            elif len(base) == 1 and code < 0x250:
+                single[ch] = base
             else:
-                expanded[ch] = base
-    source = "".join(single) + "".join(dropped)
-    return source, "".join(single.values()), expanded
+                rare[ch] = base
+    return "".join(single) + "".join(dropped), "".join(single.values()), rare
 
 
-_SOURCE, _TARGET, _EXPANDED = _fold_tables()
-_EXPANDED_CLASS = "[" + "".join(re.escape(c) for c in _EXPANDED) + "]"
+_SOURCE, _TARGET, _RARE = _fold_tables()
+_RARE_CLASS = "[" + "".join(re.escape(c) for c in _RARE) + "]"
 
 
 def fold(c: Column) -> Column:
     """Compatibility-decompose, drop combining marks, lower-case.
 
-    One ``translate`` covers every one-to-one case; the rare characters that
-    expand (ligatures, fractions) are replaced only in texts that hold one.
+    Plain ASCII only needs ``lower``; Latin text one short ``translate``; the
+    character map is consulted only in texts that hold a rare character.
     """
+    # A foldable literal: the optimizer turns it into one constant map.
+    table = F.str_to_map(F.lit("\1".join(k + "\2" + v for k, v in _RARE.items())), F.lit("\1"), F.lit("\2"))
+
+    def mapped(text: Column) -> Column:
+        wide = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(table[ch], ch)), "")
+        return F.lower(F.translate(F.when(text.rlike(_RARE_CLASS), wide).otherwise(text), _SOURCE, _TARGET))
+
     text = F.coalesce(c, F.lit(""))
-    table = F.create_map(*[F.lit(v) for pair in _EXPANDED.items() for v in pair])
-    wide = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(table[ch], ch)), "")
-    text = F.when(text.rlike(_EXPANDED_CLASS), wide).otherwise(text)
-    return F.translate(F.lower(text), _SOURCE, _TARGET)
+    return bind(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), mapped(t)).otherwise(F.lower(t)))
 
 
 def fold_name(c: Column) -> Column:

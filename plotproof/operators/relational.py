@@ -9,7 +9,10 @@ from plotproof.functions import report
 from plotproof.operators.latest import latest_checks
 from plotproof.schemas import equal_filter
 
-NONCONFORMING = F.col("resultado") != "conforme"
+
+
+def nonconforming():
+    return F.col("resultado") != "conforme"
 
 
 # ---- lookups and lists ---------------------------------------------------
@@ -152,7 +155,7 @@ def leg_findings(lote_talhao: DataFrame, current: DataFrame) -> DataFrame:
     """Worst result and number of findings per lot and leg."""
     known = current.withColumn("perna", F.coalesce("perna", F.lit("B"))).where(F.col("perna").isin("A", "B"))
     parcel = known.groupBy("talhao_id", "perna").agg(
-        F.max(report.result_rank(F.col("resultado"))).alias("posto"), F.count_if(NONCONFORMING).alias("achados")
+        F.max(report.result_rank(F.col("resultado"))).alias("posto"), F.count_if(nonconforming()).alias("achados")
     )
     lots = lote_talhao.select("lote_id", "talhao_id").join(parcel, "talhao_id")
     out = lots.groupBy("lote_id", "perna").agg(F.max("posto").alias("posto"), F.sum("achados").alias("achados"))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotproof.functions import geometry as G
-from plotproof.functions.predicates import box_measures, flat, pair_measures
+from plotproof.session import materialise
+from plotproof.functions.predicates import box_measures, pair_measures
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -23,8 +24,13 @@ BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 def distinct_geometries(df: DataFrame, wkt: str = "geom_wkt", crs: str = "utm22s", extra=()) -> DataFrame:
     """One prepared row per distinct geometry text, keyed ``gkey``; ``extra`` aggregates ride along."""
     keyed = df.where(F.col(wkt).isNotNull()).groupBy(F.col(wkt).alias("gkey"))
-    unique = keyed.agg(*extra) if extra else df.where(F.col(wkt).isNotNull()).select(F.col(wkt).alias("gkey")).distinct()
-    return G.prepare(unique, "gkey", crs)
+    return prepared(keyed.agg(*extra) if extra else keyed.agg(F.count("*").alias("copies")), crs)
+
+
+def prepared(unique: DataFrame, crs: str) -> DataFrame:
+    """Parse and project each distinct geometry once and keep the result as a table:
+    the level scan then reads four bound columns and no text is parsed twice."""
+    return materialise(G.prepare(unique, "gkey", crs), "geometry").where(F.col("xs").isNotNull())
 
 
 def _level(cell: float) -> Column:
@@ -78,13 +84,11 @@ def spatial_pairs(
     for bound in BOUNDS:
         back = F.col("r_reach") * (-1 if bound.endswith("max") else 1)
         met = met.withColumn(f"r_{bound}", F.col(f"r_{bound}") + back)
-    keep = [c for c in met.columns if c[:2] in ("l_", "r_") and c[2:] not in (*BOUNDS, "geom", "own", "is_box")]
+    keep = [c for c in met.columns if c[:2] in ("l_", "r_") and c[2:] not in (*BOUNDS, "xs", "ys", "sizes", "own", "is_box")]
     simple = F.col("l_is_box") & F.col("r_is_box") if box_shortcut else F.lit(False)
-    boxes = met.where(simple).withColumns(box_measures("l", "r")).select(*keep, "intersects", "area", "distance")
-    shapes = (
-        met.where(~simple)
-        .withColumn("m", pair_measures(*flat(F.col("l_geom")), *flat(F.col("r_geom"))))
-        .select(*keep, "m.intersects", "m.area", "m.distance")
-    )
-    found = boxes.unionByName(shapes) if box_shortcut else shapes
+    # Box pairs are measured by built-in arithmetic and reach the UDF as nulls.
+    parts = [F.when(~simple, F.col(c)) for c in ("l_xs", "l_ys", "l_sizes", "r_xs", "r_ys", "r_sizes")]
+    met = met.withColumn("m", pair_measures(*parts))
+    box = box_measures("l", "r")
+    found = met.select(*keep, *[F.when(simple, box[c]).otherwise(F.col(f"m.{c}")).alias(c) for c in box])
     return found.where(F.col("intersects") | (F.col("distance") <= F.col("r_reach"))).drop("r_reach")

@@ -17,8 +17,12 @@ from plotproof.plans.facts import parcel_facts
 from plotproof.schemas import conform, key_id
 
 z = lambda name: F.coalesce(F.col(name), F.lit(0))
-POINT = F.col("tipo_geom") == "ponto"
-ROUGH = POINT & (F.col("casas") < 6)
+
+
+def rough_point() -> Column:
+    """A point written with fewer than six decimals."""
+    return (F.col("tipo_geom") == "ponto") & (F.col("casas") < 6)
+
 
 NEEDS = {
     "01": ("alerta",),
@@ -67,8 +71,8 @@ def _without_geometry(result: Column) -> Column:
 def check_01(ctx: Context) -> Column:
     """Deforestation alerts after the cutoff; a point with under six decimals is an exception of severity F."""
     after = z("alertas_pos") > 0
-    result = _without_geometry(F.when(after, "bloqueio").when(ROUGH, "excecao").otherwise("conforme"))
-    reason = F.when(~F.col("tem_geom"), "sem_geometria").when(~after & ROUGH, "precisao_coordenada")
+    result = _without_geometry(F.when(after, "bloqueio").when(rough_point(), "excecao").otherwise("conforme"))
+    reason = F.when(~F.col("tem_geom"), "sem_geometria").when(~after & rough_point(), "precisao_coordenada")
     return _row(
         ctx, "01", result,
         F.format_string("talhao %s contra alertas de desmatamento posteriores a %s", "nome", F.lit(ctx.params.cutoff)),

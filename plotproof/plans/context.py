@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotproof.catalog import FIELD_ALIASES, Params, default_params
-from plotproof.functions.text import first_filled
+from plotproof.functions.dates import lenient_date
+from plotproof.functions.numbers import lenient_number
+from plotproof.functions.text import digits, first_filled, fold_name
+from plotproof.session import materialise
 
 # Extracted field names the rules read.
 FIELD_NAMES = sorted({n for names in FIELD_ALIASES.values() for n in names} | {"talhao_citado"})
@@ -38,12 +42,48 @@ class Context:
         return F.lit(self.as_of).cast("date")
 
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        """Documents with their extracted fields, parsed once per run."""
+        return parse_documents(self.documento)
+
+
+def field_value(name: str) -> Column:
+    """Field by canonical name, first filled alias wins."""
+    return first_filled(*[F.col(f"f.{alias}") for alias in FIELD_ALIASES[name]])
+
+
 def with_fields(documento: DataFrame) -> DataFrame:
     """Parse the extracted fields; broken or non-object JSON gives empty fields."""
     schema = ", ".join(f"{n} string" for n in FIELD_NAMES)
     return documento.withColumn("f", F.from_json("campos_json", schema))
 
 
-def field_value(name: str) -> Column:
-    """Field by canonical name, first filled alias wins."""
-    return first_filled(*[F.col(f"f.{alias}") for alias in FIELD_ALIASES[name]])
+def parse_documents(documento: DataFrame) -> DataFrame:
+    """Typed, normalised fields of every document as a slim table.
+
+    Several fact builders read documents; the JSON is parsed once, written in
+    columns to the shared folder, and each reader then scans only what it needs.
+    """
+    d = with_fields(documento)
+    area = lenient_number(field_value("area_ha"))
+    blank = F.lit("")
+    slim = d.select(
+        "id", "produtor_id", "talhao_id", "tipo", "status", "arquivo_origem", "data_emissao", "data_validade",
+        digits(field_value("cpf_titular")).alias("cpf_titular"),
+        digits(field_value("cpf_emitente")).alias("cpf_emitente"),
+        fold_name(field_value("proprietario")).alias("proprietario"),
+        field_value("proprietario").isNotNull().alias("com_nome"),
+        fold_name(field_value("municipio")).alias("municipio"),
+        fold_name(field_value("arrendatario")).alias("arrendatario"),
+        F.trim(F.coalesce(field_value("numero"), blank)).alias("numero"),
+        F.trim(F.coalesce(field_value("serie"), blank)).alias("serie"),
+        F.upper(F.trim(field_value("numero_car"))).alias("numero_car"),
+        F.lower(F.trim(F.coalesce(field_value("situacao"), blank))).alias("situacao"),
+        F.when(area != 0, area).alias("area"),
+        F.coalesce("f.talhao_citado", blank).alias("citado"),
+        fold_name(F.col("f.talhao_citado")).alias("citado_norm"),
+        lenient_date(field_value("vigencia_inicio")).alias("vigencia_inicio"),
+        lenient_date(field_value("vigencia_fim")).alias("vigencia_fim"),
+    )
+    return materialise(slim, "documents")

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from plotproof.catalog import DOWNGRADED_AREAS, UNTYPED, Params
 from plotproof.functions.dates import lenient_date
 from plotproof.functions.geometry import min_decimals
-from plotproof.functions.numbers import lenient_number
 from plotproof.functions.text import digits, fold_name
 from plotproof.operators.latest import latest_by
-from plotproof.operators.spatial import distinct_geometries, spatial_pairs
-from plotproof.plans.context import Context, field_value, with_fields
+from plotproof.operators.spatial import distinct_geometries, prepared, spatial_pairs
+from plotproof.plans.context import Context
 
 CAR_TYPES = ("car_recibo", "car_demonstrativo")
 AREA_TYPES = ("car_recibo", "car_demonstrativo", "ccir", "sigef", "matricula_imovel", "itr")
@@ -34,19 +33,18 @@ def _span(c: Column, when: Column, name: str) -> list[Column]:
 
 
 # ---- producers -----------------------------------------------------------
-def document_facts(documento: DataFrame, params: Params) -> DataFrame:
-    """One row per producer from one pass over its documents."""
-    d = with_fields(documento)
+def document_facts(d: DataFrame, params: Params) -> DataFrame:
+    """One row per producer from one pass over its parsed documents."""
     tipo = F.col("tipo")
     typed = ~F.coalesce(tipo, F.lit("desconhecido")).isin(*UNTYPED)
     car, receipt, invoice = tipo.isin(*CAR_TYPES), tipo == "car_recibo", tipo == "nota_fiscal_produtor"
     contract, statement = tipo == "contrato_arrendamento", tipo == "car_demonstrativo"
-    situacao = F.lower(F.trim(field_value("situacao")))
+    situacao = F.col("situacao")
     inactive = situacao.isin("cancelado", "suspenso") if params.r29_only_cancelled else (situacao != "ativo")
     essential = tipo.isin(*params.minimum_set)
     known = [t.name for t in params.types]
-    holder = digits(field_value("cpf_titular"))
-    uncited = (F.coalesce("f.talhao_citado", F.lit("")) == "") & (F.coalesce("talhao_id", F.lit("")) == "")
+    holder = F.col("cpf_titular")
+    uncited = (F.col("citado") == "") & (F.coalesce("talhao_id", F.lit("")) == "")
     return d.groupBy("produtor_id").agg(
         F.count("*").alias("n_docs"),
         F.collect_set(F.when(tipo.isin(*known), tipo)).alias("tipos"),
@@ -55,27 +53,26 @@ def document_facts(documento: DataFrame, params: Params) -> DataFrame:
         F.count_if(contract).alias("n_contratos"),
         F.count_if(car).alias("n_docs_car"),
         *_span(holder, receipt, "cpf_recibo"),
-        *_span(digits(field_value("cpf_emitente")), invoice, "cpf_nota"),
+        *_span(F.col("cpf_emitente"), invoice, "cpf_nota"),
         *_span(holder, car, "cpf_car"),
-        *_span(fold_name(field_value("municipio")), tipo == "matricula_imovel", "mun_matricula"),
-        *_span(fold_name(field_value("municipio")), receipt, "mun_recibo"),
-        *_span(fold_name(field_value("arrendatario")), contract, "arrendatario"),
-        F.count(F.when(car, _filled(F.trim(field_value("numero_car"))))).alias("n_numeros_car"),
+        *_span(F.col("municipio"), tipo == "matricula_imovel", "mun_matricula"),
+        *_span(F.col("municipio"), receipt, "mun_recibo"),
+        *_span(F.col("arrendatario"), contract, "arrendatario"),
+        F.count(F.when(car, _filled(F.col("numero_car")))).alias("n_numeros_car"),
         F.count_if(statement & (situacao != "") & inactive).alias("n_demos_inativos"),
         F.count_if(F.col("data_emissao") > F.col("data_validade")).alias("n_datas_invertidas"),
         F.count_if(essential & (F.col("status") == "ilegivel")).alias("n_ilegiveis"),
         F.count_if(essential & (F.col("status") == "divergente")).alias("n_divergentes"),
         F.min(F.when(typed, F.col("data_validade"))).alias("validade_min"),
-        F.max(F.when(contract, lenient_date(field_value("vigencia_inicio")))).alias("inicio_max"),
-        F.min(F.when(contract, lenient_date(field_value("vigencia_fim")))).alias("fim_min"),
+        F.max(F.when(contract, F.col("vigencia_inicio"))).alias("inicio_max"),
+        F.min(F.when(contract, F.col("vigencia_fim"))).alias("fim_min"),
         *_area_spans("p", uncited),
     )
 
 
 def _area_spans(prefix: str, when: Column | None = None) -> list[Column]:
     """Declared areas: count and span per rule, over documents that qualify."""
-    area = lenient_number(field_value("area_ha"))
-    area = F.when(area != 0, area)
+    area = F.col("area")
     if when is not None:
         area = F.when(when, area)
     tipo = F.col("tipo")
@@ -90,36 +87,29 @@ def _area_spans(prefix: str, when: Column | None = None) -> list[Column]:
     ]
 
 
-def cpf_name_conflicts(documento: DataFrame) -> DataFrame:
+def cpf_name_conflicts(docs: DataFrame) -> DataFrame:
     """(producer, CPF) pairs whose holder appears under several folded names."""
-    d = with_fields(documento)
-    pairs = d.select(
-        "produtor_id", digits(field_value("cpf_titular")).alias("cpf"), fold_name(field_value("proprietario")).alias("nome"),
-        field_value("proprietario").alias("bruto"),
-    ).where((F.col("cpf") != "") & F.col("bruto").isNotNull())
-    names = pairs.groupBy("produtor_id", "cpf", "nome").agg(F.count("*").alias("n"))
+    pairs = docs.where("cpf_titular <> '' and com_nome")
+    names = pairs.groupBy("produtor_id", F.col("cpf_titular").alias("cpf"), "proprietario").agg(F.count("*").alias("n"))
     per_cpf = names.groupBy("produtor_id", "cpf").agg(F.count("*").alias("nomes"), F.sum("n").alias("documentos"))
     return per_cpf.where("nomes > 1")
 
 
-def repeated_invoices(documento: DataFrame) -> DataFrame:
+def repeated_invoices(docs: DataFrame) -> DataFrame:
     """(producer, number/series) carried by more than one invoice."""
-    d = with_fields(documento.where("tipo = 'nota_fiscal_produtor'"))
-    number = F.trim(F.coalesce(field_value("numero"), F.lit("")))
-    series = F.trim(F.coalesce(field_value("serie"), F.lit("")))
-    keyed = d.select("produtor_id", F.concat_ws("/", number, series).alias("nota"))
+    keyed = docs.where("tipo = 'nota_fiscal_produtor'").select("produtor_id", F.concat_ws("/", "numero", "serie").alias("nota"))
     counted = keyed.where(F.trim("nota", F.lit("/")) != "").groupBy("produtor_id", "nota").agg(F.count("*").alias("vezes"))
     return counted.where("vezes > 1")
 
 
-def invoice_holder_conflicts(documento: DataFrame) -> DataFrame:
+def invoice_holder_conflicts(docs: DataFrame) -> DataFrame:
     """Number of receipt-invoice pairs with different CPFs per producer, without building the pairs.
 
     All pairs minus the pairs that agree on the CPF, from counts per CPF.
     """
-    d = with_fields(documento.where(F.col("tipo").isin("car_recibo", "nota_fiscal_produtor")))
     receipt = F.col("tipo") == "car_recibo"
-    cpf = F.when(receipt, digits(field_value("cpf_titular"))).otherwise(digits(field_value("cpf_emitente")))
+    d = docs.where(F.col("tipo").isin("car_recibo", "nota_fiscal_produtor"))
+    cpf = F.when(receipt, F.col("cpf_titular")).otherwise(F.col("cpf_emitente"))
     per_cpf = (
         d.select("produtor_id", cpf.alias("cpf"), receipt.alias("recibo")).where("cpf <> ''")
         .groupBy("produtor_id", "cpf").agg(F.count_if("recibo").alias("r"), F.count_if(~F.col("recibo")).alias("n"))
@@ -137,17 +127,16 @@ def _near_pairs(counts: DataFrame, keys: list[str], days: int) -> Column:
     return (c * (c - 1)).cast("long") / 2 + c * F.coalesce(F.sum("c").over(before), F.lit(0))
 
 
-def suspicious_duplicates(documento: DataFrame, params: Params) -> DataFrame:
+def suspicious_duplicates(docs: DataFrame, params: Params) -> DataFrame:
     """Pairs of same-type documents, different numbers, dates close or missing, per producer.
 
     Counted exactly from histograms: near pairs of all documents minus near
     pairs that share the number, both from one row per day.
     """
     singles = [t.name for t in params.types if not t.multiple_expected]
-    d = with_fields(documento.where(F.col("tipo").isin(*singles)))
-    keyed = d.select(
-        "produtor_id", "tipo", F.trim(field_value("numero")).alias("num"), F.unix_date("data_emissao").alias("dia")
-    ).where("num <> ''")
+    keyed = docs.where(F.col("tipo").isin(*singles) & (F.col("numero") != "")).select(
+        "produtor_id", "tipo", F.col("numero").alias("num"), F.unix_date("data_emissao").alias("dia")
+    )
     base = keyed.groupBy("produtor_id", "tipo", "num", "dia").agg(F.count("*").alias("c"))
     dated = base.where("dia is not null")
     by_day = dated.groupBy("produtor_id", "tipo", "dia").agg(F.sum("c").alias("c"))
@@ -173,10 +162,10 @@ def producer_facts(ctx: Context) -> DataFrame:
         F.col("id").alias("produtor_id"), F.col("nome").alias("produtor_nome"), F.upper("uf").alias("uf"),
         digits(F.col("cpf")).alias("cpf"),
     )
-    r09 = cpf_name_conflicts(ctx.documento).groupBy("produtor_id").agg(F.count("*").alias("n_cpf_nomes"))
-    r45 = repeated_invoices(ctx.documento).groupBy("produtor_id").agg(F.count("*").alias("n_notas_repetidas"))
-    r46 = suspicious_duplicates(ctx.documento, ctx.params).select("produtor_id", F.col("pares").alias("n_duplicidades"))
-    facts = document_facts(ctx.documento, ctx.params)
+    r09 = cpf_name_conflicts(ctx.docs).groupBy("produtor_id").agg(F.count("*").alias("n_cpf_nomes"))
+    r45 = repeated_invoices(ctx.docs).groupBy("produtor_id").agg(F.count("*").alias("n_notas_repetidas"))
+    r46 = suspicious_duplicates(ctx.docs, ctx.params).select("produtor_id", F.col("pares").alias("n_duplicidades"))
+    facts = document_facts(ctx.docs, ctx.params)
     for part in (r09, r45, r46):
         facts = facts.join(part, "produtor_id", "left")
     return p.join(facts, "produtor_id", "left")
@@ -185,12 +174,11 @@ def producer_facts(ctx: Context) -> DataFrame:
 # ---- parcels -------------------------------------------------------------
 def cited_facts(ctx: Context) -> DataFrame:
     """Per parcel: areas of the documents that cite it, and whether its registry number is documented."""
-    d = with_fields(ctx.documento)
-    cited = F.coalesce("f.talhao_citado", F.lit(""))
-    ref = F.when(cited != "", F.concat(F.lit("n:"), fold_name(cited))).when(
+    d = ctx.docs
+    ref = F.when(F.col("citado") != "", F.concat(F.lit("n:"), F.col("citado_norm"))).when(
         F.col("talhao_id") != "", F.concat(F.lit("t:"), F.col("talhao_id"))
     )
-    number = F.upper(F.trim(field_value("numero_car")))
+    number = F.col("numero_car")
     number_ref = F.when(F.col("tipo").isin(*CAR_TYPES) & (number != ""), F.concat(F.lit("c:"), number))
     areas = d.where(ref.isNotNull() & F.col("tipo").isin(*AREA_TYPES)).groupBy("produtor_id", ref.alias("ref")).agg(
         *_area_spans("t"), F.lit(False).alias("t_car")
@@ -310,9 +298,7 @@ def layer_geometries(ctx: Context, layers: tuple[str, ...]) -> DataFrame:
     grouped = rows.where(F.col("geom_wkt").isNotNull()).groupBy("layer", F.col("geom_wkt").alias("gkey")).agg(
         *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters], F.min("rotulo").alias("rotulo")
     )
-    from plotproof.functions.geometry import prepare
-
-    return prepare(grouped, "gkey", ctx.crs)
+    return prepared(grouped, ctx.crs)
 
 
 def layer_pairs(ctx: Context, layers: tuple[str, ...]) -> DataFrame:
@@ -429,7 +415,7 @@ def shipments(ctx: Context) -> DataFrame:
 
 def expired_at_shipping(ctx: Context) -> DataFrame:
     """Per (parcel, lot): documents expired before shipping and the longest delay in days."""
-    typed = ctx.documento.where(~F.coalesce("tipo", F.lit("desconhecido")).isin(*UNTYPED))
+    typed = ctx.docs.where(~F.coalesce("tipo", F.lit("desconhecido")).isin(*UNTYPED))
     dates = typed.select("produtor_id", F.col("data_validade").alias("dia"))
     ship = shipments(ctx)
     counted = count_earlier(dates, ship)
@@ -442,9 +428,8 @@ def expired_at_shipping(ctx: Context) -> DataFrame:
 
 def contracts_outside_validity(ctx: Context) -> DataFrame:
     """Per (parcel, lot): lease contracts whose validity does not cover the shipping day."""
-    c = with_fields(ctx.documento.where("tipo = 'contrato_arrendamento'")).select(
-        "produtor_id", lenient_date(field_value("vigencia_inicio")).alias("ini"),
-        lenient_date(field_value("vigencia_fim")).alias("fim"),
+    c = ctx.docs.where("tipo = 'contrato_arrendamento'").select(
+        "produtor_id", F.col("vigencia_inicio").alias("ini"), F.col("vigencia_fim").alias("fim")
     )
     swapped = F.coalesce(F.col("ini") > F.col("fim"), F.lit(False))
     never = c.where(swapped).groupBy("produtor_id").agg(F.count("*").alias("nunca"))

@@ -31,7 +31,7 @@ def context(d, **changes) -> Context:
 VIEWS["toque"] = "select * from vizinho where gx = 0 and gy = 0"
 VIEWS["chk01"] = f"""
     select t.id talhao_id, count(v.p) alertas, count(v.p) filter (pos) alertas_pos,
-      {half_up("coalesce(sum(area_m2) filter (pos), 0) / 10000", 3)} area_ha,
+      {half_up("coalesce(sum(area_m2) filter (pos), 0) / 10000", 4)} area_ha,
       case when not tem_geom then 'excecao' when count(*) filter (pos) > 0 then 'bloqueio'
         when tipo_geom = 'ponto' and casas < 6 then 'excecao' else 'conforme' end resultado,
       case when tem_geom and count(*) filter (pos) = 0 and tipo_geom = 'ponto' and casas < 6 then 'F' else 'B' end severidade,
@@ -219,22 +219,22 @@ def _(d):
 # ---- pairwise rules without pairs -----------------------------------------------
 @query("rule_invoice_holder_pairs", "select produtor_id, count(*) pares from par_cpf group by 1")
 def _(d):
-    return X.invoice_holder_conflicts(d.documento)
+    return X.invoice_holder_conflicts(context(d).docs)
 
 
 @query("rule_suspicious_duplicates", "select produtor_id, count(*) pares from par_dup group by 1")
 def _(d):
-    return X.suspicious_duplicates(d.documento, context(d).params)
+    return X.suspicious_duplicates(context(d).docs, context(d).params)
 
 
 @query("rule_names_per_cpf", "select * from nome_cpf")
 def _(d):
-    return X.cpf_name_conflicts(d.documento)
+    return X.cpf_name_conflicts(context(d).docs)
 
 
 @query("rule_repeated_invoices", "select * from nota_rep")
 def _(d):
-    return X.repeated_invoices(d.documento)
+    return X.repeated_invoices(context(d).docs)
 
 
 @query("expired_at_shipping", """
@@ -259,7 +259,7 @@ def _(d):
     rows = C.check_rows(context(d), ("01",))
     return rows.select(
         "talhao_id", "resultado", "severidade", _json("alertas_intersectados").alias("alertas"),
-        _json("alertas_pos_corte").alias("alertas_pos"), round_half_up(_json("area_intersecao_ha", "double"), 3).alias("area_ha"),
+        _json("alertas_pos_corte").alias("alertas_pos"), _json("area_intersecao_ha", "double").alias("area_ha"),
     )
 
 
@@ -364,7 +364,7 @@ def _(d):
 
 @query("check_report_sentence", """
     select talhao_id, 'Comparado: volume de ' || printf('%.0f', coalesce(volume_kg, 0)) || ' kg do talhao ' || nome || ' em ' || lotes || ' lote(s). Base consultada: produtividade de referencia por UF. Data da consulta: 2001-06-30. Resultado: capacidade estimada de '
-      || printf('%.0f', esperado_kg) || ' kg.' texto
+      || printf('%.0f', floor(esperado_kg + 0.5)) || ' kg.' texto
     from chk06 join talhao on talhao_id = id""")
 def _(d):
     rows = C.check_rows(context(d), ("06",))
