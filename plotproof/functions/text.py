@@ -12,45 +12,45 @@ from plotproof.functions.geometry import bind
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Replacement tables derived from the Unicode compatibility decomposition.
-
-    Latin letters and combining marks go to a short ``translate`` table; what is
-    rarer (ligatures, fractions, full-width forms, ...) goes to a map.
-    """
+    """Replacement tables derived from the Unicode compatibility decomposition."""
     single: dict[str, str] = {}
     dropped: list[str] = []
-    rare: dict[str, str] = {}
+    expanded: dict[str, str] = {}
     for block in (range(0x80, 0x3100), range(0xFB00, 0xFB07), range(0xFF01, 0xFFEF)):
         for code in block:
             ch = chr(code)
             base = "".join(p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p)).lower()
             if base == ch:
                 continue
-            if not base and code < 0x370:
+            if not base:
                 dropped.append(ch)
-            elif len(base) == 1 and code < 0x250:
+            elif len(base) == 1:
                 single[ch] = base
             else:
-                rare[ch] = base
-    return "".join(single) + "".join(dropped), "".join(single.values()), rare
+                expanded[ch] = base
+    return "".join(single) + "".join(dropped), "".join(single.values()), expanded
 
 
-_SOURCE, _TARGET, _RARE = _fold_tables()
-_RARE_CLASS = "[" + "".join(re.escape(c) for c in _RARE) + "]"
+_SOURCE, _TARGET, _EXPANDED = _fold_tables()
+_EXPANDED_CHARS = "".join(_EXPANDED)
 
 
 def fold(c: Column) -> Column:
     """Compatibility-decompose, drop combining marks, lower-case.
 
-    Plain ASCII only needs ``lower``; Latin text one short ``translate``; the
-    character map is consulted only in texts that hold a rare character.
+    ASCII texts only need ``lower``. Others take one dictionary ``translate``;
+    the few characters that expand (ligatures, fractions) are looked up only in
+    texts that hold one. Inside ``bind`` the dictionary is built once per task.
     """
     # A foldable literal: the optimizer turns it into one constant map.
-    table = F.str_to_map(F.lit("\1".join(k + "\2" + v for k, v in _RARE.items())), F.lit("\1"), F.lit("\2"))
+    table = F.str_to_map(
+        F.lit("\1".join(k + "\2" + v for k, v in _EXPANDED.items())), F.lit("\1"), F.lit("\2")
+    )
 
     def mapped(text: Column) -> Column:
         wide = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(table[ch], ch)), "")
-        return F.lower(F.translate(F.when(text.rlike(_RARE_CLASS), wide).otherwise(text), _SOURCE, _TARGET))
+        plain = F.translate(text, _EXPANDED_CHARS, "") == text
+        return F.lower(F.translate(F.when(plain, text).otherwise(wide), _SOURCE, _TARGET))
 
     text = F.coalesce(c, F.lit(""))
     return bind(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), mapped(t)).otherwise(F.lower(t)))

@@ -36,6 +36,8 @@ class Context:
     cell: float = 2000.0
     box_shortcut: bool = True
     base_date: str = "desconhecida"
+    # Parcels that define who ships in which lot, when ``talhao`` is only a part of them.
+    vinculos: DataFrame | None = None
 
     @property
     def today(self) -> Column:

@@ -216,8 +216,9 @@ def lot_denied(ctx: Context) -> DataFrame:
     A lot is one row here, so the two-hop question "does any producer sharing a
     lot with this parcel appear on the list" never expands to pairs.
     """
+    everyone = ctx.talhao if ctx.vinculos is None else ctx.vinculos
     links = ctx.lote_talhao.join(
-        ctx.talhao.select(F.col("id").alias("talhao_id"), "produtor_id"), "talhao_id"
+        everyone.select(F.col("id").alias("talhao_id"), "produtor_id"), "talhao_id"
     ).select("lote_id", "produtor_id").distinct()
     people = ctx.produtor.select(F.col("id").alias("produtor_id"), digits(F.col("cpf")).alias("cpf"))
     listed = deny_list(ctx.lista_suja).select("cpf", "numero_inscricao")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plotproof.catalog import RULES
+from plotproof.catalog import RULES, Params
 from plotproof.plans.context import Context
 
 z = lambda name: F.coalesce(F.col(name), F.lit(0))
@@ -157,19 +157,19 @@ def r47(ctx):
     )
 
 
-def missing_minimum(ctx: Context, types: Column) -> Column:
+def missing_minimum(params: Params, types: Column) -> Column:
     """Missing mandatory types and one-of groups without any member."""
     held = F.coalesce(types, F.array().cast("array<string>"))
-    mandatory = F.array_except(F.array(*[F.lit(t) for t in ctx.params.mandatory]), held)
+    mandatory = F.array_except(F.array(*[F.lit(t) for t in params.mandatory]), held)
     groups = [
         F.when(~F.arrays_overlap(F.array(*[F.lit(t) for t in g]), held), F.lit("um_de(" + "|".join(g) + ")"))
-        for g in ctx.params.one_of
+        for g in params.one_of
     ]
     return F.concat(mandatory, F.array_compact(F.array(*groups))) if groups else mandatory
 
 
 def r48(ctx):
-    missing = missing_minimum(ctx, F.col("tipos"))
+    missing = missing_minimum(ctx.params, F.col("tipos"))
     return Finding(F.size(missing) > 0, F.concat(F.lit("faltam: "), F.array_join(missing, ", ")))
 
 
