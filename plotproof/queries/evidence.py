@@ -162,7 +162,7 @@ def _(d):
 
 
 VIEWS["lacuna"] = """
-    select p.id produtor_id, list_concat(list_filter(['car_recibo','car_demonstrativo','ccir','nota_fiscal_produtor'], x -> not list_contains(coalesce(t.tipos, []), x)),
+    select p.id produtor_id, list_concat(list_filter(['car_recibo','car_demonstrativo','ccir','nota_fiscal_produtor'], lambda x: not list_contains(coalesce(t.tipos, []), x)),
       case when list_has_any(coalesce(t.tipos, []), ['matricula_imovel','titulo_assentamento','declaracao_posse']) then [] else ['um_de(matricula_imovel|titulo_assentamento|declaracao_posse)'] end) faltando
     from produtor p left join (select produtor_id, list(distinct tipo) tipos from documento group by 1) t on t.produtor_id = p.id"""
 
@@ -269,7 +269,7 @@ def _(d):
 
 
 @query("documented_waivers", """
-    select t.id talhao_id, 'nao constam, por situacao regular: ' || array_to_string(list_filter(['licenca_ambiental','asv','sigef'], x -> not list_contains(coalesce(tipos, []), x)), ', ') descricao
+    select t.id talhao_id, 'nao constam, por situacao regular: ' || array_to_string(list_filter(['licenca_ambiental','asv','sigef'], lambda x: not list_contains(coalesce(tipos, []), x)), ', ') descricao
     from talhao t left join temtipo d on d.produtor_id = t.produtor_id""")
 def _(d):
     return E.waivers(d.talhao, d.documento).select("talhao_id", "descricao")

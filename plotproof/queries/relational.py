@@ -423,9 +423,9 @@ def _(d):
     "minimum_set_difference",
     """with t as (select produtor_id, list(distinct tipo) tipos from documento where tipo not in ('desconhecido','nao_documento') group by 1)
        select produtor_id, array_to_string(list_sort(list_filter(['car_recibo','car_demonstrativo','ccir','nota_fiscal_produtor'],
-         x -> not list_contains(tipos, x))), ',') faltando,
+         lambda x: not list_contains(tipos, x))), ',') faltando,
        array_to_string(list_sort(list_filter(['matricula_imovel','titulo_assentamento','declaracao_posse'],
-         x -> list_contains(tipos, x))), ',') posse from t""".replace("with t as", "select * from (with t as") + ")",
+         lambda x: list_contains(tipos, x))), ',') posse from t""".replace("with t as", "select * from (with t as") + ")",
 )
 def _(d):
     from plotproof.catalog import default_params

@@ -153,6 +153,8 @@ def with_views(body: str, **extra: str) -> str:
         order.append(name)
 
     open_views: set[str] = set()
+    if body.lstrip().startswith("with "):
+        body = f"select * from ({body})"
     visit(body)
     if not order:
         return body
