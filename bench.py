@@ -14,7 +14,7 @@ HEADLINE = (
     "rule_suspicious_duplicates",
     "expired_at_shipping",
     "dossier_legality_categories",
-    "dossier_snapshot_diff",
+    "dossier_check_reports",
     "aptitude_layers",
     "verify_all_parcels",
 )

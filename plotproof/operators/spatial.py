@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotproof.functions import geometry as G
-from plotproof.session import materialise
 from plotproof.functions.predicates import box_measures, pair_measures
+from plotproof.session import materialise, spread
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -30,7 +30,7 @@ def distinct_geometries(df: DataFrame, wkt: str = "geom_wkt", crs: str = "utm22s
 def prepared(unique: DataFrame, crs: str) -> DataFrame:
     """Parse and project each distinct geometry once and keep the result as a table:
     the level scan then reads four bound columns and no text is parsed twice."""
-    return materialise(G.prepare(unique, "gkey", crs), "geometry").where(F.col("xs").isNotNull())
+    return spread(materialise(G.prepare(unique, "gkey", crs), "geometry")).where(F.col("xs").isNotNull())
 
 
 def _level(cell: float) -> Column:
