@@ -8,12 +8,18 @@ multipolygon count once, as in their union.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this small helper with the UDF, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEASURES = T.StructType(
     [
         T.StructField("intersects", T.BooleanType()),
