@@ -148,7 +148,12 @@ def carried(schema: T.StructType, added: T.StructType) -> T.StructType:
 
 def attach(batch: pa.RecordBatch, schema: pa.Schema, results: dict) -> pa.RecordBatch:
     """Batch with result columns, in the order and types of ``schema``."""
-    columns = [
-        pa.array(results[f.name], f.type) if f.name in results else batch.column(f.name).cast(f.type) for f in schema
-    ]
+
+    def column(f: pa.Field) -> pa.Array:
+        given = results.get(f.name)
+        if given is None:
+            return batch.column(f.name).cast(f.type)
+        return given if isinstance(given, pa.Array) else pa.array(given, f.type)
+
+    columns = [column(f) for f in schema]
     return pa.RecordBatch.from_arrays(columns, schema=schema)

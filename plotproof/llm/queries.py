@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotproof.llm.decontamination import decontaminate
+from plotproof.llm.line_dedup import dedup_lines
 from plotproof.llm.quality_rules import quality_rules
+from plotproof.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,8 +58,27 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(documento(spark, folder)).select(
+        F.col("id").alias("doc_id"),
+        F.col("n_linhas").alias("n_lines"),
+        F.col("n_removidas").alias("n_removed"),
+        F.sha2("texto", 256).alias("kept_sha256"),
+    )
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documento(spark, folder)).select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("impressao"), 16, "0")).alias("fingerprint"),
+        F.col("grupo").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_simhash": op9_simhash,
 }
 ORACLE: dict[str, str] = {}
