@@ -47,15 +47,12 @@ def _repeated(words: Column, n: Column) -> Column:
     runs = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(RUN)]))
 
     def covered(found: Column) -> Column:
-        # found: positions of repeated runs, ascending; each covers RUN words up to the next one's start
-        last = F.size(found) - 1
-        return F.when(last < 0, F.lit(0)).otherwise(
-            RUN
-            + F.aggregate(
-                F.sequence(F.lit(0), last),
-                F.lit(0),
-                lambda acc, k: acc + F.coalesce(F.least(F.lit(RUN), F.get(found, k + 1) - F.get(found, k)), F.lit(0)),
-            )
+        # found: positions of repeated runs, ascending; each covers RUN words up to the next one's start.
+        # Past the last one ``get`` is null, which ``least`` skips.
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(found) - 1),
+            F.lit(0),
+            lambda acc, k: acc + F.least(F.lit(RUN), F.get(found, k + 1) - F.get(found, k)),
         )
 
     def repeats(h: Column) -> Column:
