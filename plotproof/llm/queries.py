@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotproof.llm.decontamination import decontaminate
 from plotproof.llm.line_dedup import dedup_lines
+from plotproof.llm.packing import pack
 from plotproof.llm.quality_rules import quality_rules
 from plotproof.llm.simhash import near_duplicates
 
@@ -44,6 +45,25 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Tokenizer file, end token and sequence size of the contract.
+TOKENIZER, END, SEQUENCE = "word_bpe_49k.json", 2, 4096
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack(documento(spark, folder), public_tokenizers.path(TOKENIZER), END, SEQUENCE)
+    return packed.select(
+        F.col("id").alias("doc_id"),
+        F.col("inicio").alias("start"),
+        F.col("comprimento").alias("length"),
+        F.col("crc32").alias("ids_crc32"),
+        F.col("n_tokens").alias("doc_tokens"),
+        F.col("sequencia").alias("sequence_id"),
+        F.col("posicao").alias("offset"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(documento(spark, folder, F.col("lang").alias("idioma")), rotulo(spark, folder))
     return judged.select(
@@ -77,6 +97,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
