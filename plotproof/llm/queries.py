@@ -49,11 +49,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 TOKENIZER, END, SEQUENCE = "word_bpe_49k.json", 2, 4096
 
 
-def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+def packed(documentos: DataFrame) -> DataFrame:
+    """Packed pieces under the names of the contract."""
     import public_tokenizers
 
-    packed = pack(documento(spark, folder), public_tokenizers.path(TOKENIZER), END, SEQUENCE)
-    return packed.select(
+    return pack(documentos, public_tokenizers.path(TOKENIZER), END, SEQUENCE).select(
         F.col("id").alias("doc_id"),
         F.col("inicio").alias("start"),
         F.col("comprimento").alias("length"),
@@ -64,6 +64,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(documento(spark, folder))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(documento(spark, folder, F.col("lang").alias("idioma")), rotulo(spark, folder))
     return judged.select(
