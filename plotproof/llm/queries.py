@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotproof.llm.decontamination import decontaminate
+from plotproof.llm.language import identify_language, train_language
 from plotproof.llm.line_dedup import dedup_lines
 from plotproof.llm.packing import pack
+from plotproof.llm.quality_classifier import classify_quality, train_quality
 from plotproof.llm.quality_rules import quality_rules
 from plotproof.llm.simhash import near_duplicates
 
@@ -33,6 +35,11 @@ def avaliacao(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("texto"))
 
 
+def remainder(column: str, divisor: int):
+    """Remainder of the CRC-32 of an id written as text, which tells learning rows from others."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(documento(spark, folder), avaliacao(spark, folder))
     return found.select(
@@ -68,6 +75,22 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(documento(spark, folder))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    source = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    docs = documento(spark, folder, source.alias("arquivo_origem"))
+    learning = docs.where(remainder("id", 3) != 1).join(rotulo(spark, folder), "id")
+    found = classify_quality(docs, train_quality(learning))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"),
+        F.col("evidencia").alias("text_score"),
+        F.col("hospedeiro").alias("host_share"),
+        F.col("pasta").alias("path_share"),
+        F.col("nota").alias("score"),
+        F.col("mantido").alias("kept"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules(documento(spark, folder, F.col("lang").alias("idioma")), rotulo(spark, folder))
     return judged.select(
@@ -82,6 +105,17 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documento(spark, folder, F.col("lang").alias("idioma"))
+    model = train_language(docs.where(remainder("id", 3) != 1).select("texto", "idioma"))
+    return identify_language(docs.select("id", "texto"), model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"),
+        F.col("idioma").alias("lang_pred"),
+        F.col("certeza").alias("score"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(documento(spark, folder)).select(
         F.col("id").alias("doc_id"),
@@ -102,7 +136,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }
