@@ -12,6 +12,7 @@ from plotproof.llm.packing import pack
 from plotproof.llm.quality_classifier import classify_quality, train_quality
 from plotproof.llm.quality_rules import quality_rules
 from plotproof.llm.simhash import near_duplicates
+from plotproof.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -133,6 +134,17 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documento(spark, folder)
+    model = train_toxicity(docs.where(remainder("id", 3) != 1).join(rotulo(spark, folder), "id"))
+    return score_toxicity(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"),
+        F.col("toxicidade").alias("score"),
+        F.col("toxico").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
@@ -141,5 +153,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
