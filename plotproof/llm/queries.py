@@ -12,6 +12,7 @@ from plotproof.llm.packing import pack
 from plotproof.llm.quality_classifier import classify_quality, train_quality
 from plotproof.llm.quality_rules import quality_rules
 from plotproof.llm.simhash import near_duplicates
+from plotproof.llm.substring_dedup import dedup_substrings
 from plotproof.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -41,6 +42,15 @@ def remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_substrings(documento(spark, folder)).select(
+        F.col("id").alias("doc_id"),
+        F.col("n_palavras").alias("n_words"),
+        F.col("n_removidas").alias("n_removed"),
+        F.sha2("texto", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(documento(spark, folder), avaliacao(spark, folder))
     return found.select(
@@ -146,6 +156,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_quality_classifier": op5_quality_classifier,
