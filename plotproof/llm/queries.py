@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotproof.llm.decontamination import decontaminate
 from plotproof.llm.language import identify_language, train_language
+from plotproof.llm.language_model import score_texts
 from plotproof.llm.line_dedup import dedup_lines
 from plotproof.llm.packing import pack
 from plotproof.llm.quality_classifier import classify_quality, train_quality
@@ -51,6 +52,19 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    learns = F.coalesce(remainder("id", 10) != 0, F.lit(False))
+    return score_texts(documento(spark, folder).withColumn("treino", learns)).select(
+        F.col("id").alias("doc_id"),
+        (~F.col("treino")).alias("held_out"),
+        F.col("n_palavras").alias("n_tokens"),
+        F.col("n_conhecidas").alias("n_known"),
+        F.col("total_treino").alias("train_tokens"),
+        F.col("nota_base").alias("base_score"),
+        F.col("nota").alias("score"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(documento(spark, folder), avaliacao(spark, folder))
     return found.select(
@@ -157,6 +171,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_quality_classifier": op5_quality_classifier,
