@@ -222,7 +222,7 @@ def _lot_entries(texts: list[bytes], train: np.ndarray):
 def _stretches(hashes: np.ndarray, buckets: int):
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     names, first = np.unique(bucket, return_index=True)
-    return zip(names.tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True)
+    return zip(names.tolist(), first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True)
 
 
 _ENTRIES = "balde int, lote int, a binary, b binary, c binary, n binary"

@@ -79,7 +79,7 @@ def _answers(bucket: np.ndarray, answers: list[dict]) -> np.ndarray:
     flags = np.zeros(len(bucket), bool)
     edges = {int(x["balde"]): x["marcas"] for x in answers}
     names, first = np.unique(bucket, return_index=True)
-    stops = np.append(first[1:], len(bucket))
+    stops = np.append(first, len(bucket))[1:]
     for name, i, j in zip(names.tolist(), first.tolist(), stops.tolist(), strict=True):
         if name in edges:
             flags[i:j] = from_bits(edges[name], j - i)
@@ -89,7 +89,7 @@ def _answers(bucket: np.ndarray, answers: list[dict]) -> np.ndarray:
 def _rows(bucket: np.ndarray, lot: int, parts) -> pa.Table:
     """A packed row for each bucket that has entries; ``parts`` turn a stretch of entries into bytes."""
     names, first = np.unique(bucket, return_index=True)
-    stops = np.append(first[1:], len(bucket))
+    stops = np.append(first, len(bucket))[1:]
     packed = [[part(i, j) for i, j in zip(first.tolist(), stops.tolist(), strict=True)] for part in parts]
     return pa.table(
         {
