@@ -137,6 +137,10 @@ def pair_measures(
     return pd.DataFrame(rows, columns=["intersects", "area", "distance"])
 
 
+# Not to be evaluated again: a filter on the result would otherwise take a copy of the call below itself.
+pair_measures = pair_measures.asNondeterministic()
+
+
 def box_measures(a: str, b: str) -> dict[str, Column]:
     """The same measures for axis-aligned boxes and points, by built-in arithmetic."""
 

@@ -70,9 +70,11 @@ def sentence(compared: Column, base: Column, when: Column, result: Column, concl
     )
 
 
-def shorten(c: Column, limit: int = 320) -> Column:
-    """Cut at a sentence end past the middle, else at a word boundary."""
+def shorten(c: Column, limit: int | None = None) -> Column:
+    """The trimmed text; with a ``limit``, cut at a sentence end past the middle, else at a word boundary."""
     text = F.trim(F.coalesce(c, F.lit("")))
+    if limit is None:
+        return text
     piece = F.substring(text, 1, limit)
     back = F.reverse(piece)
     stop_at = F.locate(" .", back)
@@ -84,12 +86,16 @@ def shorten(c: Column, limit: int = 320) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(" […]")))
 
 
-def evidence_line(c: Column) -> Column:
-    """Evidence JSON as ``k = v; …`` (600 characters); text that is no object: 300 raw."""
+def evidence_line(c: Column, limit: int | None = None, raw_limit: int | None = None) -> Column:
+    """Evidence JSON as ``k = v; …``, up to ``limit`` characters; text that is no object as it is, up to ``raw_limit``."""
     fields = F.from_json(c, "map<string,string>")
+
+    def head(text: Column, most: int | None) -> Column:
+        return text if most is None else F.substring(text, 1, most)
+
     pairs = F.transform(F.map_entries(fields), lambda e: F.concat_ws(" = ", e["key"], e["value"]))
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")
-        .when(fields.isNull(), F.substring(c, 1, 300))
-        .otherwise(F.substring(F.array_join(pairs, "; "), 1, 600))
+        .when(fields.isNull(), head(c, raw_limit))
+        .otherwise(head(F.array_join(pairs, "; "), limit))
     )

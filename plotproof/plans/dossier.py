@@ -188,10 +188,14 @@ def custody_chain(lote: DataFrame, lote_talhao: DataFrame, talhao: DataFrame, do
 
 
 def geolocation(lote_talhao: DataFrame, talhao: DataFrame) -> DataFrame:
-    """Coordinates of each parcel of each lot, six decimals."""
+    """Coordinates of each parcel of each lot, six decimals, a dash without a geometry, with what the parcel declares."""
     v = talhao.withColumn("v", vertex_mean(F.col("geom_wkt")))
+
+    def degrees(c: str):
+        return F.when(F.col(c).isNull(), F.lit("—")).otherwise(F.format_string("%.6f", c))
+
     rows = v.select(
-        F.col("id").alias("talhao_id"), F.format_string("%.6f", "v.lat").alias("lat"), F.format_string("%.6f", "v.lon").alias("lon"),
+        F.col("id").alias("talhao_id"), degrees("v.lat").alias("lat"), degrees("v.lon").alias("lon"),
         F.when(F.col("tipo_geom") == "poligono", F.col("v.vertices")).otherwise(1).alias("vertices"),
     )
     return lote_talhao.select("lote_id", "talhao_id").join(rows, "talhao_id")

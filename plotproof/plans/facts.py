@@ -204,10 +204,10 @@ def cited_facts(ctx: Context) -> DataFrame:
     )
 
 
-def deny_list(lista: DataFrame, order: str = "linha") -> DataFrame:
-    """Deny-list by digits-only key: blanks skipped, the last row of a key wins."""
+def deny_list(lista: DataFrame, order: tuple[str, ...] = ("arquivo", "linha")) -> DataFrame:
+    """Deny-list by digits-only key: blanks skipped, the last row of a key wins, by file and place."""
     keyed = lista.withColumn("cpf", digits(F.col("cpf_cnpj"))).where("cpf <> ''").drop("cpf_cnpj")
-    return latest_by(keyed, ["cpf"], [order])
+    return latest_by(keyed, ["cpf"], [c for c in order if c in keyed.columns])
 
 
 def lot_denied(ctx: Context) -> DataFrame:

@@ -531,7 +531,7 @@ def _(d):
     now = W.embargo_polygons(d.embargo.join(d._boxes().where("p_size >= 3").select("geom_wkt"), "geom_wkt", "left_semi"))
     old = W.embargo_polygons(d.embargo.join(d._boxes().where("p_size <= 45").select("geom_wkt"), "geom_wkt", "left_semi"))
     known = old.unionByName(W.alert_polygons(d.alerta))
-    return R.value_counts(W.changes(known, now), "mudanca", "camada")
+    return R.value_counts(W.changes(known, now, ["embargo"]), "mudanca", "camada")
 
 
 @query("watcher_parcels_to_recheck", "select distinct talhao_id from vizinho where dist <= 500 and (p_size > 45)")

@@ -28,12 +28,11 @@ def _(d):
 
 @query(
     "documents_of_producers_in_order",
-    """select produtor_id, id, row_number() over (partition by produtor_id order by arquivo_origem) <= 3 primeiro
-       from documento qualify row_number() over (partition by produtor_id order by arquivo_origem) <= 3""",
+    "select produtor_id, id, row_number() over (partition by produtor_id order by arquivo_origem, id) posicao from documento",
 )
 def _(d):
-    top = R.top_per_group(d.documento.select("produtor_id", "id", "arquivo_origem"), ["produtor_id"], ["arquivo_origem"], 3)
-    return top.select("produtor_id", "id", (F.col("posicao") <= 3).alias("primeiro"))
+    docs = d.documento.select("produtor_id", "id", "arquivo_origem")
+    return R.documents_in_order(docs).select("produtor_id", "id", "posicao")
 
 
 @query(

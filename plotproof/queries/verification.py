@@ -14,6 +14,8 @@ from plotproof.plans import facts as X
 from plotproof.plans.context import Context
 from plotproof.queries.registry import query
 from plotproof.queries.sql import VIEWS, half_up
+from plotproof.session import scratch_path
+from plotproof.sources.layers import read_deny_list
 
 AS_OF = dt.date(2001, 6, 30)
 
@@ -211,6 +213,27 @@ def _(d):
     return X.deny_list(d.lista_suja).select("cpf", "numero_inscricao", "ano_inclusao")
 
 
+@query(
+    "deny_list_from_file",
+    """with linhas as (select lpad((c_custkey % 400)::varchar, 11, '0') cpf, c_custkey % 3 parte, c_custkey seq,
+         case when c_custkey % 5 = 0 then null else c_name || chr(10) || 'v' || (c_custkey % 7) end nome,
+         case when c_custkey % 5 > 0 then 'I' || c_custkey end numero from customer)
+       select cpf, replace(nome, chr(10), '/') nome, numero numero_inscricao from linhas
+       qualify row_number() over (partition by cpf order by parte desc, seq desc) = 1""",
+)
+def _(d):
+    # A deny-list of three files: every fifth row is short, the others break a line inside a quoted name.
+    key = "lpad(cast(c_custkey % 400 as string), 11, '0')"
+    row = f"concat_ws(',', {key}, if(c_custkey % 5 = 0, null, concat('\"', c_name, '\nv', c_custkey % 7, '\",I', c_custkey)))"
+    rows = d.raw("customer").selectExpr("c_custkey % 3 as parte", "c_custkey as seq", f"{row} as value")
+    headers = d.spark.range(3).selectExpr("id as parte", "-1L as seq", "'cpf_cnpj,nome_referencia,numero_inscricao' as value")
+    path = scratch_path(d.spark, "deny-list")
+    lines = rows.unionByName(headers).repartition("parte").sortWithinPartitions("parte", "seq")
+    lines.select("parte", "value").write.partitionBy("parte").text(path)
+    found = X.deny_list(read_deny_list(d.spark, f"{path}/parte=*"))
+    return found.select("cpf", F.translate("nome_referencia", "\n", "/").alias("nome"), "numero_inscricao")
+
+
 @query("lot_links_on_deny_list", "select lote_id, elos, elos_sem_cpf, elos_listados, inscricao from lote_negado")
 def _(d):
     return X.lot_denied(context(d))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+def local_session(cores: str = "8", partitions: int = 8, shared: str = "/tmp/checkpoints") -> SparkSession:
+    """Session for tests and the bench; a cluster brings its own and names its own shared folder."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("plotproof")
@@ -19,6 +17,7 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,19 +25,10 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
-
-    A local master may run without the setting and then gets a temporary
-    folder; a cluster must name one, since a machine-local path would not
-    survive the loss of an executor.
-    """
+    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session, which must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    root = os.environ.setdefault("PLOTPROOF_LOCAL_SCRATCH", tempfile.mkdtemp(prefix="plotproof-"))
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -61,7 +51,8 @@ def materialise(df, label: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Give a small stored table at least one task per core; large tables already have them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df, *keys: str):
+    """Deal rows over as many tasks as the cluster has cores or the session has shuffle partitions."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)

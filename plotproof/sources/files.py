@@ -47,8 +47,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def csv_text(spark: SparkSession, path: str, rows: int = 40) -> DataFrame:
-    """CSV attachments as text: header and the first 40 rows of each file, as the classifier expects."""
+def csv_text(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """CSV attachments as text: header and all rows of each file, or the first ``rows`` of them."""
     whole = spark.read.text(path, wholetext=True).withColumn("arquivo_origem", F.input_file_name())
-    kept = F.slice(F.split("value", r"\r\n|\r|\n"), 1, rows + 1)
+    lines = F.split("value", r"\r\n|\r|\n")
+    kept = lines if rows is None else F.slice(lines, 1, rows + 1)
     return whole.select("arquivo_origem", F.concat(F.lit("csv\n"), F.trim(F.array_join(kept, "\n"))).alias("texto"))

@@ -105,12 +105,13 @@ def test_spatial_join_matches_brute_force_on_copies_and_sizes(spark):
         assert got == want
 
 
-def test_positions_both_ways(spark):
-    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.hash("id").alias("o"), "id")
-    small = positions(df, ["g"], ["o", "id"], "n").collect()
-    large = positions(df, ["g"], ["o", "id"], "n", limit=10).collect()
-    key = lambda r: r["id"]
-    assert [(r["id"], r["n"]) for r in sorted(small, key=key)] == [(r["id"], r["n"]) for r in sorted(large, key=key)]
+def test_positions_match_sorting(spark):
+    group = F.when(F.col("id") % 4 > 0, F.col("id") % 4)  # a quarter has a null group
+    df = spark.range(500).select(group.alias("g"), (F.hash("id") % 40).alias("o"), "id")
+    for coarse in ([F.col("o")], [F.floor(F.col("o") / 10)], [F.lit(1)]):
+        got = {r["id"]: r["n"] for r in positions(df, ["g"], ["o", "id"], "n", coarse).collect()}
+        rows = sorted((r["g"] or 0, r["o"], r["id"]) for r in df.collect())
+        assert [got[i] for g, _, i in rows] == [n + 1 for g in range(4) for n in range(sum(r[0] == g for r in rows))]
 
 
 def test_rules_from_histograms_match_brute_force(spark):
@@ -180,6 +181,18 @@ def test_layer_precedence_and_deny_list(spark, tmp_path):
     (tmp_path / "deny.csv").write_text("cpf_cnpj,numero_inscricao\n1,a\n,b\n1,c\n")
     deny = X.deny_list(L.read_deny_list(spark, str(tmp_path / "deny.csv"))).collect()
     assert [(r["cpf"], r["numero_inscricao"]) for r in deny] == [("1", "c")]
+    text = 'cpf_cnpj,nome,numero_inscricao\n1,short\n2,"two\nlines",b\n3,x,c\n'
+    (tmp_path / "odd.csv").write_text(text)
+    deny = X.deny_list(L.read_deny_list(spark, str(tmp_path / "odd.csv")))
+    assert {(r["cpf"], r["nome"], r["numero_inscricao"]) for r in deny.collect()} == {
+        ("1", "short", None), ("2", "two\nlines", "b"), ("3", "x", "c")
+    }
+    assert deny.select("cpf").count() == 3
+    (tmp_path / "long.csv").write_text(text + "4,y,d,extra\n")
+    with pytest.raises(Exception, match="more fields"):
+        L.read_csv_text(spark, str(tmp_path / "long.csv"), ",").count()
+    assert L.read_csv_text(spark, str(tmp_path / "long.csv"), ",", long_rows="skip").count() == 3
+    assert L.long_row_count(spark, str(tmp_path / "long.csv"), ",") == 1
 
 
 def test_watcher_cycles(spark, tmp_path):
@@ -187,7 +200,8 @@ def test_watcher_cycles(spark, tmp_path):
     layers = {"now": ctx.alerta}
     seen = []
     w = Watcher(spark, str(tmp_path / "w"), lambda: alert_polygons(layers["now"]), lambda: ctx.talhao,
-                lambda parcels, n: seen.append(sorted(r[0] for r in parcels.collect())), "plane")
+                lambda parcels, n: seen.append(sorted(r[0] for r in parcels.collect())), "plane",
+                layers=lambda: layers.get("read", ["alerta"]))
     assert w.cycle(0)["linha_de_base"] and seen == []
     assert w.cycle(1)["novos"] == 0 and seen == []
     layers["now"] = ctx.alerta.unionByName(ctx.alerta.limit(1).withColumns({"id_alerta": F.lit("N"), "geom_wkt": F.lit(box(1.123, 1.123, 0.001))}))
@@ -195,8 +209,10 @@ def test_watcher_cycles(spark, tmp_path):
     layers["now"] = ctx.alerta
     out = w.cycle(3)
     assert out["sumidos"] == 1 and seen == [["far"], ["far"]]
-    layers["now"] = ctx.alerta.limit(0)
-    assert w.cycle(4)["sumidos"] == 0  # a layer that is absent removes nothing
+    layers["now"], layers["read"] = ctx.alerta.limit(0), []
+    assert w.cycle(4)["sumidos"] == 0  # a layer that was not read removes nothing
+    layers["read"] = ["alerta"]
+    assert w.cycle(5)["sumidos"] == alert_polygons(ctx.alerta).count()  # one that was read and is empty loses all
 
 
 def test_params(tmp_path):
