@@ -9,6 +9,7 @@ from plotproof.llm.decontamination import decontaminate
 from plotproof.llm.language import identify_language, train_language
 from plotproof.llm.language_model import score_texts
 from plotproof.llm.line_dedup import dedup_lines
+from plotproof.llm.oracles import ORACLE  # noqa: F401
 from plotproof.llm.packing import pack
 from plotproof.llm.quality_classifier import classify_quality, train_quality
 from plotproof.llm.quality_rules import quality_rules
@@ -181,4 +182,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
