@@ -86,7 +86,7 @@ def report_samples(lote_talhao: DataFrame, current: DataFrame, n: int = 3) -> Da
 def category_table() -> list:
     rows = []
     for letter, (types, codes, only_checks) in LEGALITY.items():
-        rows.append((letter, types.split(), codes.split(), only_checks))
+        rows.append((letter, list(types), list(codes), only_checks))
     return rows
 
 

@@ -59,8 +59,12 @@ ACTORS = ("sistema", "humano")
 
 
 def key_id(*cols: Column | str) -> Column:
-    """Deterministic 12-hex identifier; reruns and task retries give the same id."""
-    return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 12)
+    """Deterministic 32-hex identifier; reruns and task retries give the same id.
+
+    A null is marked, so that it is not the same as a part that is missing.
+    """
+    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\u0000")).cast("string") for c in cols]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
