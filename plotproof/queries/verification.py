@@ -11,6 +11,7 @@ from plotproof.operators import relational as R
 from plotproof.operators.spatial import distinct_geometries, spatial_pairs
 from plotproof.plans import checks as C
 from plotproof.plans import facts as X
+from plotproof.plans import findings as FD
 from plotproof.plans.context import Context
 from plotproof.queries.registry import query
 from plotproof.queries.sql import VIEWS, half_up
@@ -167,6 +168,39 @@ def _json(name: str, kind: str = "bigint"):
     return F.get_json_object("evidencia_json", f"$.{name}").cast(kind)
 
 
+# ---- findings behind the checks ------------------------------------------------
+@query("alert_findings", f"""
+    select talhao_id, 'ALERTA-' || p id_alerta, date '2018-01-01' + ((p * 97) % 2500)::int data_deteccao,
+      {half_up("area_m2 / 10000", 4)} area_ha, date '2018-01-01' + ((p * 97) % 2500)::int > date '2020-12-31' depois_do_corte from toque""")
+def _(d):
+    return FD.alert_findings(context(d))
+
+
+@query("embargo_findings", f"""
+    select *, row_number() over (partition by talhao_id order by distancia_m, num_tad) ordem from (
+      select talhao_id, 'TAD' || p num_tad, gx = 0 and gy = 0 intersecta, {half_up("area_m2 / 10000", 4)} area_ha,
+        {half_up("area_m2 / 10000 / area_ha * 100", 2)} pct, {half_up("dist", 1)} distancia_m
+      from vizinho join talhao t on t.id = talhao_id where dist < 500)""")
+def _(d):
+    return FD.embargo_findings(context(d)).select(
+        "talhao_id", "num_tad", "intersecta", "area_ha", "pct", "distancia_m", "ordem"
+    )
+
+
+@query("protected_area_findings", f"""
+    select talhao_id, 'PROT-' || p id_area, 'Area ' || p nome_area, tipo_area, categoria categoria_area,
+      {half_up("area_m2 / 10000", 4)} area_ha, case when rebaixada then 'F' else 'B' end severidade from protecao""")
+def _(d):
+    return FD.protected_area_findings(context(d))
+
+
+@query("deny_list_links", """
+    select lote_id, produtor_id, n.cpf, n.inscricao numero_inscricao, n.ano ano_inclusao
+    from elo join produtor p on p.id = produtor_id join negada n on n.cpf = p.cpf""")
+def _(d):
+    return FD.deny_list_links(context(d))
+
+
 # ---- spatial joins ------------------------------------------------------------
 @query("spatial_intersects_exact", f"select talhao_id, count(*) areas, {half_up('sum(area_m2)', 0)} area_m2 from toque group by 1")
 def _(d):
