@@ -134,8 +134,8 @@ VIEWS: dict[str, str] = {
 }
 
 
-def with_views(body: str, **extra: str) -> str:
-    """Prefix ``body`` with the views it uses, in dependency order."""
+def with_views(body: str, once: bool = False, **extra: str) -> str:
+    """Prefix ``body`` with the views it uses, in dependency order; ``once``: each is computed a single time."""
     known = {**VIEWS, **extra}
     order: list[str] = []
 
@@ -158,7 +158,8 @@ def with_views(body: str, **extra: str) -> str:
     visit(body)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as ({known[n]})" for n in order) + "\n" + body
+    kept = "materialized " if once else ""
+    return "with " + ",\n".join(f"{n} as {kept}({known[n]})" for n in order) + "\n" + body
 
 
 def half_up(expr: str, places: int) -> str:

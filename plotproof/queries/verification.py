@@ -96,6 +96,9 @@ VIEWS["chk07"] = """
     from talhao t join produtor p on p.id = t.produtor_id left join negada n on n.cpf = p.cpf
       left join lote_talhao b on b.talhao_id = t.id left join (select * from lote_negado where elos_listados > 0) l on l.lote_id = b.lote_id
     group by t.id"""
+VIEWS["difere_cpf"] = """
+    select produtor_id from documento where tipo in ('car_recibo', 'nota_fiscal_produtor') group by 1
+    having count(cpf) filter (tipo = 'car_recibo') > 0 and count(cpf) filter (tipo = 'nota_fiscal_produtor') > 0 and min(cpf) <> max(cpf)"""
 VIEWS["par_cpf"] = """
     select a.produtor_id from documento a join documento b on a.produtor_id = b.produtor_id
     where a.tipo = 'car_recibo' and b.tipo = 'nota_fiscal_produtor' and a.cpf <> b.cpf"""
@@ -114,7 +117,7 @@ VIEWS["tipos_prod"] = """
     select p.id produtor_id, list(distinct tipo) filter (tipo not in ('desconhecido', 'nao_documento')) tipos, count(tipo) n
     from produtor p left join documento d on d.produtor_id = p.id group by 1"""
 _PROD_RULES = {
-    "R01": "select produtor_id from par_cpf",
+    "R01": "select produtor_id from difere_cpf",
     "R09": "select produtor_id from nome_cpf",
     "R21": """select a.produtor_id from documento a join documento b on a.produtor_id = b.produtor_id
         where a.tipo = 'matricula_imovel' and b.tipo = 'car_recibo' and a.municipio <> b.municipio""",
@@ -142,11 +145,13 @@ _PARCEL_RULES = {
     "R29": """select id, 'B' from talhao where car_situacao <> 'ativo' or produtor_id in
         (select produtor_id from documento where tipo = 'car_demonstrativo' and situacao <> 'Ativo')""",
     "R31": """select b.talhao_id, 'F' from lote_talhao b join lote l on l.id = b.lote_id join talhao t on t.id = b.talhao_id
-        join documento d on d.produtor_id = t.produtor_id
-        where d.tipo not in ('desconhecido', 'nao_documento') and d.data_validade < l.data_embarque""",
+        join (select produtor_id, min(data_validade) primeira from documento where tipo not in ('desconhecido', 'nao_documento') group by 1) d
+          on d.produtor_id = t.produtor_id
+        where d.primeira < l.data_embarque""",
     "R33": """select b.talhao_id, 'F' from lote_talhao b join lote l on l.id = b.lote_id join talhao t on t.id = b.talhao_id
-        join documento d on d.produtor_id = t.produtor_id
-        where d.tipo = 'contrato_arrendamento' and (l.data_embarque < vigencia_inicio or l.data_embarque > vigencia_fim)""",
+        join (select produtor_id, max(vigencia_inicio) ini, min(vigencia_fim) fim from documento where tipo = 'contrato_arrendamento' group by 1) d
+          on d.produtor_id = t.produtor_id
+        where l.data_embarque < d.ini or l.data_embarque > d.fim""",
 }
 VIEWS["regra"] = " union all ".join(
     [f"select distinct t.id talhao_id, '{c}' codigo, '{'B' if c == 'R01' else 'F'}' severidade from talhao t where produtor_id in ({q})" for c, q in _PROD_RULES.items()]
@@ -390,7 +395,7 @@ def _(d):
 
 @query("verify_all_parcels", """
     select talhao_id, codigo, resultado, severidade from checado union all
-    select talhao_id, codigo, 'excecao', severidade from regra""")
+    select talhao_id, codigo, 'excecao', severidade from regra""", once=True)
 def _(d):
     rows = C.verify(context(d))
     fired = ~F.col("codigo").startswith("R") | (F.col("resultado") != "conforme")
