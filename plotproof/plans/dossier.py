@@ -187,16 +187,25 @@ def custody_chain(lote: DataFrame, lote_talhao: DataFrame, talhao: DataFrame, do
     return parcel.unionByName(out)
 
 
-def geolocation(lote_talhao: DataFrame, talhao: DataFrame) -> DataFrame:
-    """Coordinates of each parcel of each lot, six decimals, a dash without a geometry, with what the parcel declares."""
-    v = talhao.withColumn("v", vertex_mean(F.col("geom_wkt")))
+def geolocation(lote_talhao: DataFrame, talhao: DataFrame, produtor: DataFrame) -> DataFrame:
+    """Each parcel of each lot with its producer, town, declared values and mean coordinates.
 
-    def degrees(c: str):
-        return F.when(F.col(c).isNull(), F.lit("—")).otherwise(F.format_string("%.6f", c))
+    Six decimals; a dash stands for what is missing.
+    """
+    dash = F.lit("—")
+
+    def degrees(c: str) -> Column:
+        return F.when(F.col(c).isNull(), dash).otherwise(F.format_string("%.6f", c))
 
-    rows = v.select(
-        F.col("id").alias("talhao_id"), degrees("v.lat").alias("lat"), degrees("v.lon").alias("lon"),
+    town = F.concat(F.coalesce("municipio", dash), F.lit("/"), F.coalesce("uf", F.lit("")))
+    people = produtor.select(F.col("id").alias("produtor_id"), F.col("nome").alias("_nome"), town.alias("_municipio"))
+    rows = talhao.withColumn("v", vertex_mean(F.col("geom_wkt"))).join(people, "produtor_id", "left").select(
+        F.col("id").alias("talhao_id"), "nome", F.coalesce("_nome", dash).alias("produtor"),
+        F.coalesce("_municipio", F.lit("—/")).alias("municipio"), F.coalesce(F.nullif("tipo_geom", F.lit("")), dash).alias("tipo_geom"),
+        "area_ha", degrees("v.lat").alias("lat"), degrees("v.lon").alias("lon"),
         F.when(F.col("tipo_geom") == "poligono", F.col("v.vertices")).otherwise(1).alias("vertices"),
+        F.coalesce(F.nullif("car_numero", F.lit("")), dash).alias("car_numero"),
+        F.coalesce(F.nullif("car_situacao", F.lit("")), dash).alias("car_situacao"),
     )
     return lote_talhao.select("lote_id", "talhao_id").join(rows, "talhao_id")
 

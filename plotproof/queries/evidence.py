@@ -376,10 +376,13 @@ def _(d):
 
 
 @query("dossier_geolocation", """
-    select lote_id, talhao_id, case when tipo_geom = 'poligono' then 5 else 1 end vertices, tem_geom com_coordenada from lote_talhao b join talhao t on t.id = b.talhao_id where tem_geom""")
+    select lote_id, talhao_id, t.nome, p.nome produtor, p.municipio || '/' || uf municipio, tipo_geom, area_ha,
+      case when tipo_geom <> 'poligono' then 1 when tem_geom then 5 else 0 end vertices,
+      case when tem_geom then printf('%.6f', cy - h / 5) else '—' end lat, case when tem_geom then printf('%.6f', cx - h / 5) else '—' end lon,
+      coalesce(car_numero, '—') car_numero, car_situacao
+    from lote_talhao b join talhao t on t.id = b.talhao_id join produtor p on p.id = t.produtor_id""")
 def _(d):
-    rows = O.geolocation(d.lote_talhao, d.talhao.where("geom_wkt is not null"))
-    return rows.select("lote_id", "talhao_id", "vertices", F.col("lat").rlike(r"^-?\d+\.\d{6}$").alias("com_coordenada"))
+    return O.geolocation(d.lote_talhao, d.talhao, d.produtor)
 
 
 @query("dossier_annex_index", "select lote_id, d.tipo ordem_tipo, status, count(*) n from elo join documento d using (produtor_id) group by 1, 2, 3")
