@@ -7,6 +7,8 @@ parcels, documents and events stay rows, since a lot can be arbitrarily large.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from plotproof.catalog import EXPECTED_ABSENT, LEGALITY
 from plotproof.functions import report
 from plotproof.functions.geometry import vertex_mean
 from plotproof.operators.latest import first_by, latest_aptitude
-from plotproof.operators.relational import top_per_group
+from plotproof.operators.relational import exceptions_of_lots, top_per_group
 from plotproof.schemas import key_id
 
 
@@ -219,6 +221,43 @@ def annexes(links: DataFrame, documento: DataFrame) -> DataFrame:
     return links.join(d, "produtor_id").drop("produtor_id")
 
 
+def lot_event_keys(
+    lote: DataFrame, lote_talhao: DataFrame, links: DataFrame, documento: DataFrame, excecao: DataFrame, dossie: DataFrame
+) -> DataFrame:
+    """(lote_id, chave) of all that an audit event of a lot can be about.
+
+    The lot itself, its parcels, their producers, the documents of these, its
+    exceptions and its dossiers.
+    """
+    documents = links.join(documento.select("produtor_id", F.col("id").alias("chave")), "produtor_id")
+    parts = [
+        lote.select(F.col("id").alias("lote_id"), F.col("id").alias("chave")),
+        lote_talhao.select("lote_id", F.col("talhao_id").alias("chave")),
+        links.select("lote_id", F.col("produtor_id").alias("chave")),
+        documents.select("lote_id", "chave"),
+        exceptions_of_lots(excecao, lote_talhao, links, documento).select("lote_id", F.col("excecao_id").alias("chave")),
+        dossie.select("lote_id", F.col("id").alias("chave")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def lot_event_counts(evento: DataFrame, keys: DataFrame) -> DataFrame:
+    """Events of each lot by actor; counted per entity before the lots are joined, so events never multiply."""
+    per = evento.groupBy(F.col("entidade_id").alias("chave")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("ator") == "sistema").alias("s"), F.count_if(F.col("ator") == "humano").alias("h")
+    )
+    return keys.distinct().join(per, "chave").groupBy("lote_id").agg(
+        F.sum("n").alias("eventos"), F.sum("s").alias("sistema"), F.sum("h").alias("humano")
+    )
+
+
+def last_lot_events(evento: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` events of each lot, newest first; an entity gives a lot its own last ``n`` at most."""
+    order = [F.desc("timestamp"), F.desc("id")]
+    few = top_per_group(evento, ["entidade_id"], order, n).drop("posicao")
+    return top_per_group(lot_events(few, keys), ["lote_id"], order, n)
+
+
 def lot_events(evento: DataFrame, keys: DataFrame) -> DataFrame:
     """Audit events that touch an entity of a lot; ``keys``: lote_id, chave."""
     return keys.distinct().join(evento, F.col("chave") == F.col("entidade_id")).drop("chave")

@@ -390,22 +390,29 @@ def _(d):
     return R.value_counts(O.annexes(_links(d), d.documento), "lote_id", "ordem_tipo", "status")
 
 
+VIEWS["chave_lote"] = """
+    select lote_id, talhao_id chave from lote_talhao union select lote_id, produtor_id from elo union select id, id from lote
+    union select lote_id, d.id from elo join documento d using (produtor_id)
+    union select lote_id, e.id from excecao e join lote_talhao using (talhao_id) union select unnest(lotes_afetados), id from excecao
+    union select lote_id, id from dossie"""
+
+
+def _event_keys(d):
+    return O.lot_event_keys(d.lote, d.lote_talhao, _links(d), d.documento, d.excecao, d.dossie)
+
+
 @query("dossier_events", """
-    with k as (select lote_id, talhao_id chave from lote_talhao union select lote_id, produtor_id from elo union select id, id from lote)
-    select lote_id, count(*) eventos, count(*) filter (ator = 'sistema') sistema, count(*) filter (ator = 'humano') humano from k join evento on chave = entidade_id group by 1""")
+    select lote_id, count(*) eventos, count(*) filter (ator = 'sistema') sistema, count(*) filter (ator = 'humano') humano
+    from chave_lote join evento on chave = entidade_id group by 1""")
 def _(d):
-    keys = d.lote_talhao.select("lote_id", F.col("talhao_id").alias("chave")).unionByName(
-        _links(d).select("lote_id", F.col("produtor_id").alias("chave"))).unionByName(d.lote.select(F.col("id").alias("lote_id"), F.col("id").alias("chave")))
-    return O.event_counts(O.lot_events(d.evento, keys))
+    return O.lot_event_counts(d.evento, _event_keys(d))
 
 
 @query("dossier_printed_events", """
-    select lote_id, id, row_number() over (partition by lote_id order by ts desc, id desc) posicao from lote_talhao join evento on talhao_id = entidade_id
+    select lote_id, id, row_number() over (partition by lote_id order by ts desc, id desc) posicao from chave_lote join evento on chave = entidade_id
     qualify row_number() over (partition by lote_id order by ts desc, id desc) <= 120""")
 def _(d):
-    keys = d.lote_talhao.select("lote_id", F.col("talhao_id").alias("chave"))
-    rows = O.lot_events(d.evento, keys)
-    return R.top_per_group(rows, ["lote_id"], [F.desc("timestamp"), F.desc("id")], 120).select("lote_id", "id", "posicao")
+    return O.last_lot_events(d.evento, _event_keys(d), 120).select("lote_id", "id", "posicao")
 
 
 def _snapshots(d):
