@@ -454,14 +454,46 @@ def _(d):
     return rows.join(hashes.select("lote_id", "linhas"), "lote_id").select("lote_id", "versao", "status", "linhas")
 
 
-@query("dossier_lot_report")
+def _lot_report_sql() -> str:
+    """The report's blocks put together again, nested rows as text."""
+    from plotproof.queries.registry import ORACLE
+
+    part = lambda name: f"({ORACLE[name]})"
+    text = lambda cols: "string_agg(concat_ws(':', " + ", ".join(cols) + "), ';' order by " + cols[0] + ")"
+    return f"""
+        with pernas as (select lote_id, {text(LEG_FIELDS)} pernas from {part("dossier_legs")} group by 1),
+        categorias as (select lote_id, {text(CATEGORY_FIELDS)} categorias from {part("dossier_legality_categories")} group by 1),
+        laudos as (select lote_id, {text(REPORT_FIELDS)} laudos from {part("dossier_check_reports")} group by 1)
+        select t.lote_id, talhoes, t.produtores, {half_up("area_ha", 2)} area_ha, {half_up("kg", 0)} kg, sev_b, sev_f, sem_classe,
+          sem_avaliacao, satisfeitas, camadas_fracas, pernas, categorias, laudos
+        from {part("lot_totals")} t left join {part("severity_counts_per_lot")} using (lote_id)
+          left join {part("dossier_aptitude_block")} a on a.lote_id = t.lote_id left join pernas on pernas.lote_id = t.lote_id
+          left join categorias on categorias.lote_id = t.lote_id left join laudos on laudos.lote_id = t.lote_id"""
+
+
+LEG_FIELDS = ["perna", "conformes", "excecoes", "bloqueios", "sem_dado", "total", "semaforo"]
+CATEGORY_FIELDS = ["letra", "situacao", "documentos_ok", "documentos_problema"]
+REPORT_FIELDS = ["codigo", "resultado", "total", "conformes", "excecoes", "bloqueios"]
+
+
+@query("dossier_lot_report", _lot_report_sql())
 def _(d):
     current, links = latest_checks(d.checagem), _links(d)
     cats = O.legality(d.lote, links, d.documento, d.lote_talhao, current)
-    return O.lot_report(
+    report = O.lot_report(
         R.lot_totals(d.talhao, d.lote_talhao), O.legs(d.lote_talhao, current), cats, O.check_reports(d.lote_talhao, current),
         O.severity_counts(d.lote_talhao, current), O.aptitude_block(links, d.aptidao))
 
+    def text(column: str, names: list[str]):
+        rows = F.transform(column, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names]))
+        return F.array_join(rows, ";").alias(column)
+
+    return report.select(
+        "lote_id", "talhoes", "produtores", round_half_up(F.col("area_ha"), 2).alias("area_ha"), round_half_up(F.col("kg"), 0).alias("kg"),
+        "sev_b", "sev_f", "sem_classe", "sem_avaliacao", "satisfeitas", "camadas_fracas",
+        text("pernas", LEG_FIELDS), text("categorias", CATEGORY_FIELDS), text("laudos", REPORT_FIELDS),
+    )
+
 
 # ---- embargo layer ------------------------------------------------------------------
 def terms(d):
