@@ -129,11 +129,11 @@ class Model:
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, width: int) -> np.ndarray:
-    z = bias + weights[rows[:, 0], :width]
+    z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k], :width]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
+        z += np.take(weights, rows[:, k], axis=0)
+    z = z[:, :width] + bias
+    np.exp(np.minimum(z, 60, out=z), out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
@@ -160,16 +160,14 @@ def log_probabilities(model: Model, t: Tokens, count: np.ndarray) -> np.ndarray:
 
 def _descend(weights, squares, counts, rows, error, rate: float) -> None:
     """Adaptive gradient step on the rows that occur; ``error``: probabilities less what happened."""
-    width = error.shape[1]
-    flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    used = flat[first]
-    gradient = np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
-    squares[used, :width] += gradient * gradient
-    weights[used, :width] -= rate * gradient / np.sqrt(1 + squares[used, :width])
-    counts[used] += np.diff(np.append(first, len(flat)))
+    n, width = len(weights), error.shape[1]
+    flat = np.ascontiguousarray(rows.T).ravel()
+    columns = np.ascontiguousarray(error.T, dtype=np.float64)
+    gradient = np.stack([np.bincount(flat, weights=np.tile(c, rows.shape[1]), minlength=n) for c in columns])
+    gradient = gradient.T.astype(np.float32)
+    squares[:, :width] += gradient * gradient
+    weights[:, :width] -= rate * gradient / np.sqrt(1 + squares[:, :width])
+    counts += np.bincount(flat, minlength=n)
 
 
 class Trainer:
