@@ -90,8 +90,8 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return range_hashes(_BYTE[self.data], self.start, self.end, 0)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        return range_hashes(_BYTE[self.data], self.start, self.end, which)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j (exclusive), joined by one space."""

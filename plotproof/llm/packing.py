@@ -9,48 +9,90 @@ and the plan are bounded by the sequence size, not by the number of documents.
 
 from __future__ import annotations
 
+import os
 import zlib
-from itertools import chain
+from functools import cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotproof.llm import batches as B
 from plotproof.session import materialise
 
-#: Words a worker keeps ids of, and the words encoded at once.
-CACHE = 200_000
+#: Words a worker remembers the ids of, in each of two generations.
+REMEMBERED = 400_000
+SLICE_BYTES = 4 << 20
 DENSE = 48
 ROUNDS = 300
 
 
 class _Encoder:
-    """Token ids of texts; a word between ASCII blanks is encoded once while it stays in the cache.
+    """Token ids of texts; a word between ASCII blanks is encoded once while it is remembered.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its words in a row; ``whole`` encodes a text at once for tokenizers
-    of another kind.
+    those of its words in a row; ``whole`` encodes texts as they are, for tokenizers
+    of another kind. Words that are met again move to the younger generation, and a
+    full one replaces the older, so memory is bounded and frequent words stay.
     """
 
     def __init__(self, path: str, whole: bool):
+        # A task is one core's work; the library's own threads would only spin.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.whole, self.young, self.old = whole, {}, {}
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        coded = [c.ids for c in self.encode([t.decode() for t in texts], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
+        stops = [0, *accumulate(4 * len(c) for c in coded)]
+        return [flat[a:b] for a, b in pairwise(stops)]
+
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
+        if len(self.young) + len(words) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = old.get(words[i])
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        new = {}
+        for i in range(0, len(missing), 8192):
+            part = missing[i : i + 8192]
+            new.update(zip(part, self._ids(part), strict=True))
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        young.update(zip(words, found, strict=True))
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.whole:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-        words, known = text.split(), self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (tuple(c.ids) for c in coded), strict=True))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
+        words = B.words_of(texts, B.PLAIN)
+        hashes, check = words.hashes(), words.hashes(1)
+        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not (check[at][which] == check).all():  # two words of one hash: tell all words apart by themselves
+            at, which = np.arange(len(hashes)), np.arange(len(hashes))
+        data = words.data.tobytes()
+        coded = self._lookup([data[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        table, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        ids = table[np.arange(stops[-1]) + np.repeat(first[which] - stops[:-1], counts)]
+        bounds = stops[words.first].tolist()
+        return [ids[a:b] for a, b in pairwise(bounds)]
+
+
+@cache
+def _encoder(path: str, whole: bool) -> _Encoder:
+    """One for all tasks of a worker process, so that what it remembers outlives a task."""
+    return _Encoder(path, whole)
 
 
 def combinations_for(counts: np.ndarray, size: int) -> np.ndarray:
@@ -174,16 +216,18 @@ def pack(documento: DataFrame, tokenizador: str, fim: int, tamanho: int = 4096,
     kind = documento.schema["id"].dataType.simpleString()
 
     def cut(rows):
-        encode = _Encoder(tokenizador, por_texto)
+        encode = _encoder(tokenizador, por_texto)
         for batch in rows:
+            texts = B.utf8(batch.column("texto"))
             owner, cols = [], ([], [], [], [])
-            for i, text in enumerate(batch.column("texto").cast(pa.binary()).to_pylist()):
-                ids = np.append(encode(text or b""), np.uint32(fim)).astype("<u4")
-                for start in range(0, len(ids), tamanho):
-                    piece = ids[start : start + tamanho]
-                    owner.append(i)
-                    for col, v in zip(cols, (start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
-                        col.append(v)
+            for a, b in B.slices(texts, SLICE_BYTES):
+                for i, ids in enumerate(encode(texts[a:b]), a):
+                    ids = np.append(ids, np.array([fim], "<u4"))
+                    for start in range(0, len(ids), tamanho):
+                        piece = ids[start : start + tamanho]
+                        owner.append(i)
+                        for col, v in zip(cols, (start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(owner, pa.int32())), *[pa.array(c, pa.int64()) for c in cols]],
                 names=["id", "inicio", "comprimento", "crc32", "n_tokens"],
