@@ -70,7 +70,7 @@ def quality_rows(seed, n):
 def test_quality_learns_and_keeps_clean_documents(documento):
     rows = quality_rows(1, 300)
     docs = documento(rows, qualidade=T.IntegerType(), arquivo_origem=T.StringType())
-    model = Q.train_quality(docs.where("cast(id as int) < 200"))
+    model = Q.train_quality(docs, docs.where("cast(id as int) < 200").select("id", "qualidade"))
     got = {r["id"]: r for r in Q.classify_quality(docs.drop("qualidade"), model).collect()}
     assert all(got[i]["mantido"] == bool(y) for i, _, y, _ in rows)
 
@@ -78,7 +78,7 @@ def test_quality_learns_and_keeps_clean_documents(documento):
 def test_posteriors_match_brute_force(documento):
     rows = quality_rows(2, 90)
     docs = documento(rows, qualidade=T.IntegerType(), arquivo_origem=T.StringType())
-    got = {r["id"]: r for r in Q.classify_quality(docs.drop("qualidade"), Q.train_quality(docs)).collect()}
+    got = {r["id"]: r for r in Q.classify_quality(docs.drop("qualidade"), Q.train_quality(docs, docs.select("id", "qualidade"))).collect()}
     p = {i: got[i]["evidencia"] for i, *_ in rows}
     host = {i: o.split("/")[0] for i, _, _, o in rows}
     folder = {i: o.rsplit("/", 1)[0] for i, _, _, o in rows}
@@ -105,10 +105,10 @@ def test_posteriors_match_brute_force(documento):
 def test_quality_edge_cases(documento):
     rows = [("a", None, None, None), ("a", None, None, None), (None, "x" * 100_000, 1, "s/p/1")]
     docs = documento(rows, qualidade=T.IntegerType(), arquivo_origem=T.StringType())
-    model = Q.train_quality(docs)
+    model = Q.train_quality(docs, docs.select("id", "qualidade"))
     out = Q.classify_quality(docs, model).collect()
     assert len(out) == 3 and all(0 <= r["nota"] <= 1 for r in out)
-    assert Q.classify_quality(docs.limit(0), Q.train_quality(docs.limit(0))).count() == 0
+    assert Q.classify_quality(docs.limit(0), Q.train_quality(docs.limit(0), docs.limit(0))).count() == 0
 
 
 def toxic_texts(seed, n):
@@ -176,10 +176,11 @@ def test_windows_cover_every_word_and_overlap():
 def test_toxicity_edge_cases(documento):
     texts, labels = toxic_texts(6, 120)
     rows = [(str(i), t.decode(), int(y)) for i, (t, y) in enumerate(zip(texts, labels))]
-    model = X.train_toxicity(documento(rows, toxico=T.IntegerType()))
+    learning = documento(rows, toxico=T.IntegerType())
+    model = X.train_toxicity(learning, learning.select("id", "toxico"))
     edge = [("a", None, 9), ("a", None, 9), (None, "", 9), ("b", "!!", 9), ("c", "verme " * 20_000, 9)]
     docs = documento(edge, toxico=T.IntegerType())
     out = X.score_toxicity(docs, model).collect()
     assert len({round(r["toxicidade"], 9) for r in out if r["id"] != "c"}) == 1
     assert all(0 <= r["toxicidade"] <= 1 and r["toxico"] == int(r["toxicidade"] >= 0.7) for r in out)
-    assert X.score_toxicity(docs.limit(0), X.train_toxicity(docs.limit(0))).count() == 0
+    assert X.score_toxicity(docs.limit(0), X.train_toxicity(docs.limit(0), docs.limit(0))).count() == 0

@@ -32,10 +32,15 @@ def check(rows, encoded, size):
     return len(by_sequence)
 
 
+WORDS = ["Talhão", "cacau!", "don't", "12345", "日本語", "á", "l'été", "TALHÃO", "Ifé", "x" * 90, " ", "\x1f"]
+MARKED = ["H\u0331I\u0307", "t\u0308", "T\u0308", "E\u0301"]
+SPECIAL = ["<|endoftext|>", "<|ENDOFTEXT|>"]
+
+
+@pytest.mark.parametrize("vocabulary", [WORDS, WORDS + MARKED, WORDS + SPECIAL])
 @pytest.mark.parametrize("whole", [False, True])
-def test_round_trip(documento, whole):
+def test_round_trip(documento, whole, vocabulary):
     rng = random.Random(4)
-    vocabulary = ["Talhão", "cacau!", "don't", "12345", "<|endoftext|>", "日本語", "á", "l'été", "x" * 90, " ", "\x1f"]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 90))) for _ in range(60)] + ["", None, " \n\t", "kg " * 500]
     tokenizer = tokenizers.Tokenizer.from_file(PATH)
     encoded = {str(i): tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
