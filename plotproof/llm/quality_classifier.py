@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotproof.llm import batches as B
-from plotproof.llm.samples import bounded_sample
+from plotproof.llm.samples import labelled_texts
 from plotproof.session import materialise
 
 _KINDS = {
@@ -75,16 +75,16 @@ def log_odds(x: np.ndarray, model: np.ndarray) -> np.ndarray:
     return np.clip(z @ model[2 * k : 3 * k] + model[-1], -12, 12)
 
 
-def train_quality(exemplo: DataFrame, max_por_classe: int = 5_000) -> np.ndarray:
-    """Document model from the rows of ``exemplo`` (``texto``, ``qualidade``: 1 good, 0 poor).
+def train_quality(documento: DataFrame, rotulo: DataFrame, max_por_classe: int = 5_000) -> np.ndarray:
+    """Document model from ``documento`` (``id``, ``texto``) and ``rotulo`` (``id``, ``qualidade``: 1 good, 0 poor).
 
-    A sample of at most 1.5 times ``max_por_classe`` rows of each class is fitted;
-    their statistics, not their texts, come to the driver. Null labels are ignored and
+    A sample of at most 1.5 times ``max_por_classe`` ids of each class is fitted;
+    the statistics of their texts, not these, come to the driver. Null labels are ignored and
     null texts are empty. With fewer than two classes the model knows only their share.
     """
-    known = exemplo.where("qualidade in (0, 1)").select(F.coalesce("texto", F.lit("")).alias("texto"), "qualidade")
+    known = rotulo.where("qualidade in (0, 1)")
     sizes = {r["qualidade"]: r["count"] for r in known.groupBy("qualidade").count().collect()}
-    sample = bounded_sample(known, "qualidade", max_por_classe)
+    sample = labelled_texts(documento, known, "qualidade", max_por_classe)
 
     def describe(rows):
         for batch in rows:

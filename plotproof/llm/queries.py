@@ -104,8 +104,8 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     source = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     docs = documento(spark, folder, source.alias("arquivo_origem"))
-    learning = docs.where(remainder("id", 3) != 1).join(rotulo(spark, folder), "id")
-    found = classify_quality(docs, train_quality(learning))
+    labels = rotulo(spark, folder).where(remainder("id", 3) != 1)
+    found = classify_quality(docs, train_quality(docs, labels))
     return found.select(
         F.col("id").alias("doc_id"),
         F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"),
@@ -161,7 +161,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documento(spark, folder)
-    model = train_toxicity(docs.where(remainder("id", 3) != 1).join(rotulo(spark, folder), "id"))
+    model = train_toxicity(docs, rotulo(spark, folder).where(remainder("id", 3) != 1))
     return score_toxicity(docs, model).select(
         F.col("id").alias("doc_id"),
         F.coalesce(remainder("id", 3) == 1, F.lit(False)).alias("held_out"),

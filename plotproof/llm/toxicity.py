@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotproof.llm import batches as B
-from plotproof.llm.samples import bounded_sample
+from plotproof.llm.samples import labelled_texts
 
 WORD_BITS, GRAM_BITS = 18, 15
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
@@ -325,18 +325,20 @@ def _calibrate(model: ToxicityModel, best: np.ndarray, labels: np.ndarray, share
     model.scale, model.shift = max(float(w[0]), 0.05), float(w[1])
 
 
-def train_toxicity(exemplo: DataFrame, max_por_classe: int = 1_500, max_caracteres: int = 40_000) -> ToxicityModel:
-    """Model from the rows of ``exemplo`` (``texto``, ``toxico``: 1 toxic, 0 not).
+def train_toxicity(
+    documento: DataFrame, rotulo: DataFrame, max_por_classe: int = 1_500, max_caracteres: int = 40_000
+) -> ToxicityModel:
+    """Model from ``documento`` (``id``, ``texto``) and ``rotulo`` (``id``, ``toxico``: 1 toxic, 0 not).
 
-    At most 1.5 times ``max_por_classe`` texts of each label are fitted, of those with at
-    most ``max_caracteres`` characters; this sample comes to the driver, so both bounds
-    hold its size at any input. Null texts and labels teach nothing. With one label only,
+    At most 1.5 times ``max_por_classe`` ids of each label are fitted, of these the texts with
+    at most ``max_caracteres`` characters; they come to the driver, so both bounds
+    hold their size at any input. Null texts and labels teach nothing. With one label only,
     or without rows, the model knows no more than its share.
     """
-    known = exemplo.where("toxico in (0, 1) and texto is not null").select("texto", "toxico")
+    known = rotulo.where("toxico in (0, 1)")
     sizes = {int(r["toxico"]): r["count"] for r in known.groupBy("toxico").count().collect()}
-    short = known.where(F.length("texto") <= max_caracteres)
-    rows = sorted((r["texto"], int(r["toxico"])) for r in bounded_sample(short, "toxico", max_por_classe).collect())
+    short = documento.where(F.length("texto") <= max_caracteres)
+    rows = sorted((r["texto"], int(r["toxico"])) for r in labelled_texts(short, known, "toxico", max_por_classe).collect())
     share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     return fit([t.encode() for t, _ in rows], np.array([y for _, y in rows], np.float64), share)
 
