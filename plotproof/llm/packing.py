@@ -9,7 +9,9 @@ and the plan are bounded by the sequence size, not by the number of documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import cache
 from itertools import accumulate, chain, pairwise
@@ -46,6 +48,9 @@ class _Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.whole, self.young, self.old = whole, {}, {}
+        described = json.loads(tokenizer.to_str())
+        self.lowers = "Lowercase" in re.findall('"type": ?"([A-Za-z]+)"', json.dumps(described["normalizer"]))
+        self.special = [t["content"].lower().encode() for t in described["added_tokens"]]
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         coded = [c.ids for c in self.encode([t.decode() for t in texts], add_special_tokens=False)]
@@ -53,6 +58,16 @@ class _Encoder:
         stops = [0, *accumulate(4 * len(c) for c in coded)]
         return [flat[a:b] for a, b in pairwise(stops)]
 
+    def _may_lower(self, texts: list[bytes]) -> bool:
+        """Whether A-Z may be lower-cased beforehand, which makes fewer words distinct.
+
+        Only if the tokenizer does so itself, and no special token, which it looks for
+        before, nor a combining mark, which could compose with a small letter alone, is near.
+        """
+        if not self.lowers or any(mark in t for t in texts for mark in (b"\xcc", b"\xcd")):
+            return False
+        return not any(special in t.lower() for special in self.special for t in texts)
+
     def _lookup(self, words: list[bytes]) -> list[bytes]:
         if len(self.young) + len(words) > REMEMBERED:
             self.young, self.old = {}, self.young
@@ -73,7 +88,7 @@ class _Encoder:
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.whole:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        words = B.words_of(texts, B.PLAIN)
+        words = B.words_of(texts, B.LOWER if self._may_lower(texts) else B.PLAIN)
         hashes, check = words.hashes(), words.hashes(1)
         _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         if not (check[at][which] == check).all():  # two words of one hash: tell all words apart by themselves
