@@ -3,7 +3,7 @@
 Every rule is a number per document that is high for poor texts. A labelled
 holdout decides, stratum by stratum, from which value on a rule may reject: the
 exact binomial bound on its false rejections must hold at a confidence that is
-shared among all cutoffs tried.
+shared among all cutoffs tried, and so must the bound on what all rules reject together.
 """
 
 from __future__ import annotations
@@ -149,49 +149,99 @@ def choose_cutoffs(
     no more than (1 - ``confianca``) divided by the number of cutoffs tried over all
     rules and strata. Of the valid cutoffs the one that rejects most poor documents is
     taken, and of equals the most lenient. A rule without one rejects nothing there.
+
+    A document goes when any rule rejects it, so the cutoffs must also hold together:
+    rules are taken up from the one that rejects most poor documents, and a cutoff is
+    taken only when the good documents rejected by it or by a rule before it pass the
+    same test, with the error shared among all choices open to the stratum. Choices that
+    reject the same poor documents rule by rule count once, as their most lenient; poor
+    documents are another sample than the good ones, so they may tell what is tried.
     """
-    counted = medido.where("qualidade in (0, 1) and not reprovado_base").select(
-        F.coalesce(F.col(estrato).cast("string"), F.lit("")).alias("estrato"),
-        F.col("qualidade"),
-        F.explode(
-            F.array(*[F.struct(F.lit(r).alias("regra"), _rate(r).alias("valor")) for r in regras])
-        ).alias("m"),
+
+    def level(rate: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: rate > c))
+
+    # Documents alike in stratum, label and cutoffs exceeded count as one row.
+    alike = materialise(
+        medido.where("qualidade in (0, 1) and not reprovado_base")
+        .groupBy(
+            F.coalesce(F.col(estrato).cast("string"), F.lit("")).alias("estrato"), "qualidade", F.array(*[level(_rate(r)) for r in regras]).alias("niveis")
+        )
+        .agg(F.count("*").alias("n")),
+        "amostra",
     )
-    grouped = counted.groupBy("estrato", "m.regra").agg(
-        F.sum((F.col("qualidade") == 1).cast("long")).alias("n_boas"),
-        *[
-            F.sum(((F.col("qualidade") == q) & (F.col("m.valor") > c)).cast("long")).alias(f"q{q}_{c}")
-            for q in (0, 1)
-            for c in CUTOFFS
-        ],
+    tried = alike.select("estrato", "qualidade", "n", F.posexplode("niveis").alias("regra", "nivel")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(len(CUTOFFS) - 1))).alias("corte")
+    )
+
+    def total(quality: int, exceeded: bool) -> Column:
+        counts = (F.col("qualidade") == quality) & (F.col("nivel") > F.col("corte") if exceeded else F.lit(True))
+        return F.sum(F.when(counts, F.col("n")).otherwise(0))
+
+    tested = tried.groupBy("estrato", "regra", "corte").agg(
+        total(1, False).alias("n_boas"), total(1, True).alias("n_recusadas"), total(0, True).alias("n_ruins")
     )
-    tried = grouped.select(
-        "estrato",
-        "regra",
-        "n_boas",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("corte"), F.col(f"q1_{c}").alias("n_recusadas"), F.col(f"q0_{c}").alias("n_ruins")
-                    )
-                    for c in CUTOFFS
-                ]
-            )
-        ).alias("t"),
-    ).select("estrato", "regra", "n_boas", "t.*")
-    strata = counted.agg(F.count_distinct("estrato").alias("_estratos"))
-    each = F.log((1 - confianca) / (F.col("_estratos") * len(regras) * len(CUTOFFS)))
     # One row against a few: the count of strata.
-    tested = tried.join(F.broadcast(strata))
+    tested = tested.join(F.broadcast(alike.agg(F.count_distinct("estrato").alias("_estratos"))))
+    error = F.log((1 - confianca) / F.col("_estratos"))
+
+    def holds(k: Column, n: Column, share: Column) -> Column:
+        return (k < max_recusa * n) & (_binomial_tail(k, n, max_recusa) <= share)
+
     valid = tested.where(
         (F.col("n_boas") > 0)
-        & (F.col("n_recusadas") < max_recusa * F.col("n_boas"))
-        & (_binomial_tail(F.col("n_recusadas"), F.col("n_boas"), max_recusa) <= each)
         & (F.col("n_ruins") > 0)
+        & holds(F.col("n_recusadas"), F.col("n_boas"), error - log(len(regras) * len(CUTOFFS)))
+    )
+    # Log share of the error for every choice of cutoffs, rule by rule none or one that rejects its own number of poor ones.
+    choices = tested.where("n_ruins > 0").groupBy("estrato", "regra").agg(F.count_distinct("n_ruins").alias("k"))
+    choices = choices.groupBy("estrato").agg((-F.sum(F.log(F.col("k") + 1))).alias("_parte"))
+    # One row per stratum: its valid cutoffs rule by rule, best first, and the cutoff taken for every rule.
+    cutoffs = valid.groupBy("estrato", "_estratos", "n_boas", "regra").agg(
+        F.sort_array(F.collect_list(F.struct("n_ruins", "corte", "n_recusadas")), asc=False).alias("cortes")
+    )
+    state = cutoffs.groupBy("estrato", "_estratos", "n_boas").agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.get("cortes", F.lit(0))["n_ruins"].alias("n_ruins"), (-F.col("regra")).alias("ordem"), "cortes")), asc=False
+        ).alias("por_regra")
+    )
+    none = F.lit(None).cast("struct<n_ruins:bigint,corte:int,n_recusadas:bigint>")
+    state = state.join(choices, "estrato").withColumn("tomados", F.array(*[none] * len(regras)))
+    good = alike.where("qualidade = 1").select("estrato", "niveis", "n")
+    for step in range(len(regras)):
+        now = F.get("por_regra", F.lit(step))
+        gone = F.exists(
+            F.zip_with("niveis", "tomados", lambda n, t: F.coalesce(n > t["corte"], F.lit(False))), lambda x: x
+        )
+        own = F.get("niveis", -now["ordem"])
+        joined = state.join(good, "estrato").groupBy("estrato").agg(
+            *[F.any_value(c).alias(c) for c in ("_estratos", "_parte", "n_boas", "por_regra", "tomados")],
+            F.array(
+                *[F.sum(F.when(gone | (own > c), F.col("n")).otherwise(0)) for c in range(len(CUTOFFS))]
+            ).alias("_juntas"),
+        )
+        fits = F.filter(
+            now["cortes"], lambda c: holds(F.get("_juntas", c["corte"]), F.col("n_boas"), error + F.col("_parte"))
+        )
+        state = joined.withColumn("_novo", F.get(fits, F.lit(0))).select(
+            "estrato",
+            "_estratos",
+            "_parte",
+            "n_boas",
+            "por_regra",
+            F.transform(
+                "tomados", lambda t, i: F.when(i == -now["ordem"], F.col("_novo")).otherwise(t)
+            ).alias("tomados"),
+        )
+    taken = state.select("estrato", "n_boas", F.posexplode("tomados").alias("_r", "t")).where("t is not null")
+    return taken.select(
+        "estrato",
+        F.get(F.array(*map(F.lit, regras)), F.col("_r")).alias("regra"),
+        "n_boas",
+        F.get(F.array(*map(F.lit, CUTOFFS)), F.col("t.corte")).alias("corte"),
+        "t.n_recusadas",
+        "t.n_ruins",
     )
-    best = F.max_by(F.struct("corte", "n_recusadas", "n_ruins"), F.struct("n_ruins", "corte"))
-    return valid.groupBy("estrato", "regra", "n_boas").agg(best.alias("b")).select("estrato", "regra", "n_boas", "b.*")
 
 
 def quality_rules(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotproof.llm.quality_rules import CUTOFFS, RULES, _binomial_tail, measure, quality_rules
+from plotproof.llm.quality_rules import CUTOFFS, RULES, _binomial_tail, choose_cutoffs, measure, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,3 +85,16 @@ def test_edge_rows(spark, documento):
     assert all(not r["mantido"] for r in out)
     assert quality_rules(docs.limit(0), labels).count() == 0
     assert quality_rules(docs, labels.limit(0)).count() == 3
+
+
+def test_rules_together_reject_no_more_good_documents_than_one_may(spark):
+    def row(i, quality, **high):
+        counts = {name: 0 for pair in RULES.values() for name in pair} | {"n_caracteres": 1000, "n_palavras": 1000, "n_linhas": 1000}
+        return {"id": i, "idioma": "pt", "qualidade": quality, "reprovado_base": False} | counts | high
+
+    columns = ("n_simbolos", "n_linhas_repetidas", "n_palavras_repetidas", "n_maiusculas", "n_barras")
+    n, each = 20_000, 140  # 0.7 % for every rule, 3.5 % for all five
+    rows = [row(i, 1, **({columns[i // each]: 950} if i < each * len(columns) else {})) for i in range(n)]
+    rows += [row(n + i, 0, **{c: 950}) for i, c in enumerate(columns) for _ in range(40 - 5 * i)]
+    got = choose_cutoffs(spark.createDataFrame(rows), "idioma").collect()
+    assert [(r["regra"], r["n_recusadas"], r["n_ruins"]) for r in got] == [("simbolos", each, 40)]
