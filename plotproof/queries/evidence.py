@@ -592,6 +592,32 @@ def _(d):
     return rows.where(F.col("codigo").isin("01", "02", "03", "04", "06", "07")).select("talhao_id", "codigo", "resultado")
 
 
+def _layer_delta(d):
+    """Parcels to re-check when polygons came and went between two states of a layer, links of the earlier one given."""
+
+    def polygons(where):
+        return W.embargo_polygons(d.embargo.join(d._boxes().where(where).select("geom_wkt"), "geom_wkt", "left_semi"))
+
+    known, now = polygons("p_size <= 45"), polygons("p_size >= 3")
+    nothing = d.spark.createDataFrame([], "chave string, talhao_id string")
+    links = W.react(d.talhao, known.withColumn("mudanca", F.lit("novo")), nothing, "plane")[1]
+    return W.react(d.talhao, W.changes(known, now, ["embargo"]), links, "plane")[0]
+
+
+@query("watcher_delta_parcels", "select distinct talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3)")
+def _(d):
+    return _layer_delta(d)
+
+
+@query("watcher_delta_checks", """
+    select talhao_id, codigo, resultado, severidade from checado where talhao_id in (select talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3))
+    union all select talhao_id, codigo, 'excecao', severidade from regra where talhao_id in (select talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3))""", once=True)
+def _(d):
+    rows = W.recheck_parcels(context(d), _layer_delta(d))
+    fired = ~F.col("codigo").startswith("R") | (F.col("resultado") != "conforme")
+    return rows.where(fired).select("talhao_id", "codigo", "resultado", "severidade")
+
+
 @query("live_action_counters", "select acao, count(*) n from evento group by 1")
 def _(d):
     """The audit log as a stream, counted to completion in complete mode."""

@@ -215,6 +215,21 @@ def test_watcher_cycles(spark, tmp_path):
     assert w.cycle(5)["sumidos"] == alert_polygons(ctx.alerta).count()  # one that was read and is empty loses all
 
 
+def test_watcher_delta_reaches_parcels_of_new_and_vanished_polygons(spark):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    name, folder = "watcher_delta_parcels", "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("orders", "part"):
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    want = {r[0] for r in con.execute(e.oracle_sql()[name]).fetchall()}
+    vanished = {r[0] for r in con.execute(e.oracle_sql()[name].replace("p_size > 45 or ", "")).fetchall()}
+    got = {r[0] for r in e.queries()[name](spark, folder).collect()}
+    assert got == want and vanished and vanished < want
+
+
 def test_params(tmp_path):
     p = tmp_path / "p.yml"
     p.write_text("commodity: x\n")
