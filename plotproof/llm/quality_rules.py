@@ -271,8 +271,12 @@ def quality_rules(
     needed = {c for pair in RULES.values() for c in pair} | {"reprovado_base", estrato, "id"}
     holdout = measured.select(*sorted(needed)).join(labels, F.col("id") == F.col("_id"))
     cutoffs = choose_cutoffs(holdout, estrato, max_recusa, confianca)
-    wide = cutoffs.groupBy("estrato").agg(
-        *[F.max(F.when(F.col("regra") == r, F.col("corte"))).alias(f"_corte_{r}") for r in RULES]
+    # Written first, so that Spark knows the size of the few rows and moves no document to them.
+    wide = materialise(
+        cutoffs.groupBy("estrato").agg(
+            *[F.max(F.when(F.col("regra") == r, F.col("corte"))).alias(f"_corte_{r}") for r in RULES]
+        ),
+        "cortes",
     )
     stratum = F.coalesce(F.col(estrato).cast("string"), F.lit(""))
     judged = measured.withColumn("_estrato", stratum).join(
