@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotproof.llm.decontamination import decontaminate
+from plotproof.llm.filter_audit import audit_filters
+from plotproof.llm.history_trie import branch, history_trie
 from plotproof.llm.language import identify_language, train_language
 from plotproof.llm.language_model import score_texts
+from plotproof.llm.license_scan import scan_licenses
 from plotproof.llm.line_dedup import dedup_lines
 from plotproof.llm.oracles import ORACLE  # noqa: F401
 from plotproof.llm.packing import pack
@@ -170,6 +173,54 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("entidade_id"), F.col("turn").alias("timestamp"), F.col("role").alias("ator"), F.col("text").alias("detalhe")
+    )
+    conv = F.col("entidade_id")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 9
+    branches = turns.select(conv).where(conv.isNotNull()).distinct().select(conv, (conv - conv % 5).alias("origem_id"), taken.alias("herdados"))
+    return history_trie(branch(turns, branches)).select(
+        F.col("no").alias("conv_id"),
+        F.col("nivel").alias("depth"),
+        F.col("pai").alias("parent_conv_id"),
+        F.col("n_historias").alias("n_convs"),
+        F.col("n_filhos").alias("n_children"),
+        F.col("n_folhas").alias("n_leaves"),
+        F.col("poupados").alias("saved_tokens"),
+        F.col("fins_sha256").alias("ends_sha256"),
+    )
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documento(spark, folder)).select(
+        F.col("id").alias("doc_id"),
+        F.col("n_palavras").alias("n_words"),
+        F.col("n_frases").alias("n_base"),
+        F.col("primeira").alias("first_word"),
+        F.col("ultima").alias("last_word"),
+        F.array_join("rotulos_frases", ",").alias("base_labels"),
+        F.array_join("rotulos", ",").alias("labels"),
+        F.col("nota").alias("score"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    audit = audit_filters(documento(spark, folder, F.col("lang").alias("idioma")), rotulo(spark, folder))
+    return audit.select(
+        F.col("parte").alias("part"),
+        F.col("ordem").alias("filter_order"),
+        F.col("passo").alias("step"),
+        F.col("mantidos").alias("kept"),
+        F.col("removidos").alias("removed"),
+        F.col("redundantes").alias("redundant"),
+        F.col("falhas_unicas").alias("unique_fails"),
+        F.col("bons_perdidos").alias("good_lost"),
+        F.col("toxicos_perdidos").alias("toxic_lost"),
+        F.col("shapley").alias("shapley"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -181,4 +232,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_scan": op12_license_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
