@@ -14,7 +14,7 @@ import os
 import re
 import zlib
 from functools import cache
-from itertools import accumulate, chain, pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +24,71 @@ from pyspark.sql import functions as F
 from plotproof.llm import batches as B
 from plotproof.session import materialise
 
-#: Words a worker remembers the ids of, in each of two generations.
-REMEMBERED = 400_000
-SLICE_BYTES = 4 << 20
+#: Words a worker remembers the ids of, and the ids themselves: some 40 bytes a word in flat arrays.
+REMEMBERED = 1 << 18
+REMEMBERED_IDS = 1 << 21
+SLICE_BYTES = 1 << 20
 DENSE = 48
 ROUNDS = 300
 
 
+class _Memory:
+    """Token ids of known words in flat arrays: two 64-bit hashes, place and number of the ids, last use.
+
+    New words gather beside the sorted ones and are merged when they are many. When words
+    or ids outgrow their bounds, the half used least recently goes.
+    """
+
+    def __init__(self):
+        self.key, self.check = (np.zeros(0, np.uint64) for _ in range(2))
+        self.first, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+        self.new, self.clock = [], 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 where it is unknown."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        self.clock += 1
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at = np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+        self.used[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.new.append((key, check, ids, size))
+        fresh = sum(len(n[0]) for n in self.new)
+        if fresh > 4096 + len(self.key) // 16:
+            self._merge()
+
+    def _merge(self) -> None:
+        key, check, ids, size = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        self.new = []
+        key, check = np.concatenate([self.key, key]), np.concatenate([self.check, check])
+        first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        size, used = np.concatenate([self.size, size]), np.concatenate([self.used, np.full(len(size), self.clock)])
+        ids = np.concatenate([self.ids, ids])
+        keep = np.unique(key, return_index=True)[1]  # of two words of one hash, one is remembered
+        if len(keep) > REMEMBERED or size[keep].sum() > REMEMBERED_IDS:
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[: len(keep) // 2]])
+            keep = keep[np.argsort(key[keep], kind="stable")]
+        self.key, self.check, self.size, self.used = key[keep], check[keep], size[keep], used[keep]
+        self.first = np.cumsum(self.size) - self.size
+        self.ids = ids[_ranges(first[keep], self.size)]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges first, first + 1, ... of the given sizes, one after another."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)
+
+
 class _Encoder:
     """Token ids of texts; a word between ASCII blanks is encoded once while it is remembered.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
     those of its words in a row; ``whole`` encodes texts as they are, for tokenizers
-    of another kind. Words that are met again move to the younger generation, and a
-    full one replaces the older, so memory is bounded and frequent words stay.
+    of another kind. Words are told apart by two 64-bit hashes.
     """
 
     def __init__(self, path: str, whole: bool):
@@ -47,16 +98,19 @@ class _Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.whole, self.young, self.old = whole, {}, {}
+        self.whole, self.memory = whole, _Memory()
         described = json.loads(tokenizer.to_str())
         self.lowers = "Lowercase" in re.findall('"type": ?"([A-Za-z]+)"', json.dumps(described["normalizer"]))
         self.special = [t["content"].lower().encode() for t in described["added_tokens"]]
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        coded = [c.ids for c in self.encode([t.decode() for t in texts], add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(coded), "<u4").tobytes()
-        stops = [0, *accumulate(4 * len(c) for c in coded)]
-        return [flat[a:b] for a, b in pairwise(stops)]
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their numbers."""
+        flat, sizes = [], []
+        for i in range(0, len(texts), 8192):
+            coded = [c.ids for c in self.encode([t.decode() for t in texts[i : i + 8192]], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(coded), "<u4"))
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+        return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((flat, "<u4"), (sizes, np.int64)))
 
     def _may_lower(self, texts: list[bytes]) -> bool:
         """Whether A-Z may be lower-cased beforehand, which makes fewer words distinct.
@@ -68,39 +122,29 @@ class _Encoder:
             return False
         return not any(special in t.lower() for special in self.special for t in texts)
 
-    def _lookup(self, words: list[bytes]) -> list[bytes]:
-        if len(self.young) + len(words) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, words))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = old.get(words[i])
-        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        new = {}
-        for i in range(0, len(missing), 8192):
-            part = missing[i : i + 8192]
-            new.update(zip(part, self._ids(part), strict=True))
-        found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        young.update(zip(words, found, strict=True))
-        return found
-
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.whole:
-            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
+            ids, sizes = self._ids(texts)
+            return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
         words = B.words_of(texts, B.LOWER if self._may_lower(texts) else B.PLAIN)
         hashes, check = words.hashes(), words.hashes(1)
         _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         if not (check[at][which] == check).all():  # two words of one hash: tell all words apart by themselves
             at, which = np.arange(len(hashes)), np.arange(len(hashes))
-        data = words.data.tobytes()
-        coded = self._lookup([data[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        table, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        stops = np.concatenate([[0], np.cumsum(counts)])
-        ids = table[np.arange(stops[-1]) + np.repeat(first[which] - stops[:-1], counts)]
-        bounds = stops[words.first].tolist()
+        key, other, memory = hashes[at], check[at], self.memory
+        place = memory.find(key, other)
+        known, missing = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        data = words.data
+        spans = zip(words.start[at[missing]].tolist(), words.end[at[missing]].tolist(), strict=True)
+        new, size = self._ids([data[a:b].tobytes() for a, b in spans])
+        sizes, first = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        sizes[known], first[known] = memory.size[place[known]], memory.first[place[known]]
+        sizes[missing], first[missing] = size, len(memory.ids) + np.cumsum(size) - size
+        table = np.concatenate([memory.ids, new])
+        ids = table[_ranges(first[which], sizes[which])]
+        if len(missing):
+            memory.add(key[missing], other[missing], new, size)
+        bounds = np.concatenate([[0], np.cumsum(sizes[which])])[words.first].tolist()
         return [ids[a:b] for a, b in pairwise(bounds)]
 
 
