@@ -81,15 +81,16 @@ def _repeated(words: Column, n: Column) -> Column:
     return F.when(n < RUN, F.lit(0)).otherwise(counted)
 
 
-def measure(documento: DataFrame) -> DataFrame:
-    """Input rows, ``texto`` left out, with the measures of the text (null: empty) and ``reprovado_base``."""
+def measure(documento: DataFrame, com_texto: bool = False) -> DataFrame:
+    """Input rows, ``texto`` left out unless ``com_texto``, with the measures of the text (null: empty) and ``reprovado_base``."""
     text = F.coalesce(F.col("texto"), F.lit(""))
     words = _words(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     without = F.length(F.translate(text, BLANK_CHARS, ""))
     counts = bind(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w, F.size(w)).alias("r")))
     line_counts = bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    kept = [c for c in documento.columns if c.lower() not in {"texto", "reprovado_base", *METRICS, *EXTRA}]
+    dropped = {"reprovado_base", *METRICS, *EXTRA} | (set() if com_texto else {"texto"})
+    kept = [c for c in documento.columns if c.lower() not in dropped]
     measured = documento.select(
         *kept,
         counts.alias("_w"),
@@ -250,23 +251,24 @@ def quality_rules(
     estrato: str = "idioma",
     max_recusa: float = 0.01,
     confianca: float = 0.95,
+    com_texto: bool = False,
 ) -> DataFrame:
     """Verdict on every row of ``documento`` (``id``, ``texto``, the column named by ``estrato``).
 
     ``rotulo``: the labelled holdout, ``id`` and ``qualidade`` (1 good, 0 poor). Returns
-    the input columns without ``texto``, the measures ``n_palavras``, ``n_caracteres``,
+    the input columns without ``texto`` (with it if ``com_texto``), the measures ``n_palavras``, ``n_caracteres``,
     ``n_simbolos``, ``n_linhas_repetidas``, ``n_palavras_repetidas``, ``n_linhas``,
     ``n_maiusculas``, ``n_barras``, then ``reprovado_base`` (too short, or too many words
     in repeated runs), ``regras_violadas`` (sorted names) and ``mantido``. Input columns
     of these names are replaced.
 
-    A null text is empty and fails the base rule; a null stratum is a stratum of its
-    own; rows of a repeated id are judged each on its own text, and count as often as
+    A null text is empty and fails the base rule; a null stratum counts as the empty
+    string; rows of a repeated id are judged each on its own text, and count as often as
     they are labelled; labels without a document are ignored. Without enough labels in
     a stratum only the base rule rejects. Built-in functions only; texts are measured
     once, the holdout join moves measures, never texts, and what is broadcast has one row per stratum.
     """
-    measured = materialise(measure(documento), "medidas")
+    measured = materialise(measure(documento, com_texto), "medidas")
     labels = rotulo.select(F.col("id").alias("_id"), F.col("qualidade")).where("_id is not null")
     needed = {c for pair in RULES.values() for c in pair} | {"reprovado_base", estrato, "id"}
     holdout = measured.select(*sorted(needed)).join(labels, F.col("id") == F.col("_id"))
