@@ -33,7 +33,7 @@ class Context:
     as_of: dt.date
     params: Params = field(default_factory=default_params)
     crs: str = "utm22s"
-    cell: float = 2000.0
+    cell: float = 250.0
     box_shortcut: bool = True
     base_date: str = "desconhecida"
     # Parcels that define who ships in which lot, when ``talhao`` is only a part of them.

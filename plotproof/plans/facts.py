@@ -15,7 +15,7 @@ from plotproof.functions.dates import lenient_date
 from plotproof.functions.geometry import min_decimals
 from plotproof.functions.text import digits, fold_name
 from plotproof.operators.latest import latest_by
-from plotproof.operators.spatial import distinct_geometries, prepared, spatial_pairs
+from plotproof.operators.spatial import distinct_geometries, geometry_key, prepared, spatial_pairs
 from plotproof.plans.context import Context
 
 CAR_TYPES = ("car_recibo", "car_demonstrativo")
@@ -296,7 +296,9 @@ def layer_geometries(ctx: Context, layers: tuple[str, ...]) -> DataFrame:
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
     counters = [c for c in rows.columns if c.startswith("n")]
-    grouped = rows.where(F.col("geom_wkt").isNotNull()).groupBy("layer", F.col("geom_wkt").alias("gkey")).agg(
+    grouped = rows.where(F.col("geom_wkt").isNotNull()).groupBy(
+        "layer", geometry_key("geom_wkt").alias("gkey"), F.col("geom_wkt").alias("_wkt")
+    ).agg(
         *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in counters], F.min("rotulo").alias("rotulo")
     )
     return prepared(grouped, ctx.crs)
@@ -348,7 +350,7 @@ def geometry_facts(ctx: Context, layers: tuple[str, ...] = ("alerta", "embargo",
         inside = (F.col("r_layer") == "protegida") & hit
         out += [total(inside, n).alias("areas"), total(inside, area * n).alias("areas_area")]
         out += [total(inside, F.col(f"r_{c}")).alias(f"areas_{c[2:]}") for c in ("n_b", "n_ti", "n_ti_b", "n_uc", "n_uc_b")]
-    return rows.groupBy(F.col("l_gkey").alias("geom_wkt")).agg(*out)
+    return rows.groupBy(F.col("l_gkey").alias("gkey")).agg(*out)
 
 
 def embargo_terms_by_cpf(embargo: DataFrame) -> DataFrame:
@@ -368,9 +370,9 @@ def parcel_facts(ctx: Context, parts: tuple[str, ...]) -> DataFrame:
     )
     layers = tuple(p for p in parts if p in ("alerta", "embargo", "protegida"))
     if layers:
-        t = t.join(geometry_facts(ctx, layers), "geom_wkt", "left")
+        t = t.withColumn("gkey", geometry_key("geom_wkt")).join(geometry_facts(ctx, layers), "gkey", "left")
         t = t.withColumn("tem_geom", F.coalesce("tem_geom", F.lit(False))).withColumn("casas", min_decimals(F.col("geom_wkt")))
-    t = t.drop("geom_wkt")
+    t = t.drop("geom_wkt", "gkey")
     if "lots" in parts or "denied" in parts:
         t = t.join(allocation_facts(ctx, "denied" in parts), "talhao_id", "left")
     if "cited" in parts:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plotproof.functions.numbers import round_half_up
 from plotproof.functions.text import digits
-from plotproof.operators.spatial import distinct_geometries, spatial_pairs
+from plotproof.operators.spatial import distinct_geometries, geometry_key, spatial_pairs
 from plotproof.plans.context import Context
 from plotproof.plans.facts import area_severity, deny_list
 
@@ -22,9 +22,9 @@ def _measured(ctx: Context, layer: DataFrame, radius: float) -> DataFrame:
     right = distinct_geometries(layer, crs=ctx.crs)
     pairs = spatial_pairs(left, right, radius).select("l_gkey", "r_gkey", "intersects", "area", "distance")
     parcels = ctx.talhao.select(
-        F.col("id").alias("talhao_id"), F.col("area_ha").alias("_area_talhao"), F.col("geom_wkt").alias("l_gkey")
+        F.col("id").alias("talhao_id"), F.col("area_ha").alias("_area_talhao"), geometry_key("geom_wkt").alias("l_gkey")
     )
-    rows = layer.withColumnRenamed("geom_wkt", "r_gkey")
+    rows = layer.withColumn("r_gkey", geometry_key("geom_wkt")).drop("geom_wkt")
     return pairs.join(parcels, "l_gkey").join(rows, "r_gkey").drop("l_gkey", "r_gkey")
 
 

@@ -576,46 +576,49 @@ def _(d):
     return R.value_counts(W.changes(known, now, ["embargo"]), "mudanca", "camada")
 
 
-@query("watcher_parcels_to_recheck", "select distinct talhao_id from vizinho where dist <= 500 and (p_size > 45)")
-def _(d):
-    change = W.embargo_polygons(d.embargo.join(d._boxes().where("p_size > 45").select("geom_wkt"), "geom_wkt", "left_semi")).withColumn("mudanca", F.lit("novo"))
-    links = d.spark.createDataFrame([], "chave string, talhao_id string")
-    return W.react(d.talhao, change, links, "plane")[0]
-
-
-@query("watcher_incremental_checks", """
-    select talhao_id, codigo, resultado from checado where codigo <> '05' and talhao_id in (select talhao_id from vizinho where dist <= 500 and p_size > 45)""")
-def _(d):
-    change = W.embargo_polygons(d.embargo.join(d._boxes().where("p_size > 45").select("geom_wkt"), "geom_wkt", "left_semi")).withColumn("mudanca", F.lit("novo"))
-    parcels = W.react(d.talhao, change, d.spark.createDataFrame([], "chave string, talhao_id string"), "plane")[0]
-    rows = W.recheck_parcels(context(d), parcels)
-    return rows.where(F.col("codigo").isin("01", "02", "03", "04", "06", "07")).select("talhao_id", "codigo", "resultado")
-
-
-def _layer_delta(d):
+def _layer_delta(d, layer="embargo"):
     """Parcels to re-check when polygons came and went between two states of a layer, links of the earlier one given."""
+    frame, read = (d.embargo, W.embargo_polygons) if layer == "embargo" else (d.alerta, W.alert_polygons)
 
     def polygons(where):
-        return W.embargo_polygons(d.embargo.join(d._boxes().where(where).select("geom_wkt"), "geom_wkt", "left_semi"))
+        return read(frame.join(d._boxes().where(where).select("geom_wkt"), "geom_wkt", "left_semi"))
 
     known, now = polygons("p_size <= 45"), polygons("p_size >= 3")
     nothing = d.spark.createDataFrame([], "chave string, talhao_id string")
     links = W.react(d.talhao, known.withColumn("mudanca", F.lit("novo")), nothing, "plane")[1]
-    return W.react(d.talhao, W.changes(known, now, ["embargo"]), links, "plane")[0]
+    return W.react(d.talhao, W.changes(known, now, [layer]), links, "plane")[0]
+
+
+def _rechecked(d, parcels):
+    rows = W.recheck_parcels(context(d), parcels)
+    fired = ~F.col("codigo").startswith("R") | (F.col("resultado") != "conforme")
+    return rows.where(fired).select("talhao_id", "codigo", "resultado", "severidade")
+
+
+VIEWS["rever"] = "select distinct talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3)"
+_RECHECKED = """
+    select talhao_id, codigo, resultado, severidade from checado where talhao_id in (select talhao_id from rever)
+    union all select talhao_id, codigo, 'excecao', severidade from regra where talhao_id in (select talhao_id from rever)"""
+
+
+@query("watcher_parcels_to_recheck", "select talhao_id from rever")
+def _(d):
+    return _layer_delta(d, "alerta")
 
 
-@query("watcher_delta_parcels", "select distinct talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3)")
+@query("watcher_incremental_checks", _RECHECKED, once=True)
+def _(d):
+    return _rechecked(d, _layer_delta(d, "alerta"))
+
+
+@query("watcher_delta_parcels", "select talhao_id from rever")
 def _(d):
     return _layer_delta(d)
 
 
-@query("watcher_delta_checks", """
-    select talhao_id, codigo, resultado, severidade from checado where talhao_id in (select talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3))
-    union all select talhao_id, codigo, 'excecao', severidade from regra where talhao_id in (select talhao_id from vizinho where dist <= 500 and (p_size > 45 or p_size < 3))""", once=True)
+@query("watcher_delta_checks", _RECHECKED, once=True)
 def _(d):
-    rows = W.recheck_parcels(context(d), _layer_delta(d))
-    fired = ~F.col("codigo").startswith("R") | (F.col("resultado") != "conforme")
-    return rows.where(fired).select("talhao_id", "codigo", "resultado", "severidade")
+    return _rechecked(d, _layer_delta(d))
 
 
 @query("live_action_counters", "select acao, count(*) n from evento group by 1")

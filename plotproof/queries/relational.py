@@ -485,7 +485,7 @@ def _(d):
     return stamped.groupBy("ator", "acao", "entidade_id").agg(F.count_distinct("id").alias("n"))
 
 
-@query("deterministic_ids", "select substr(sha256(l_suppkey || '|' || l_orderkey), 1, 12) id, count(*) n from lineitem group by 1")
+@query("deterministic_ids", "select substr(sha256(l_suppkey || '|' || l_orderkey), 1, 32) id, count(*) n from lineitem group by 1")
 def _(d):
     keyed = d.raw("lineitem").select(key_id(F.col("l_suppkey").cast("string"), F.col("l_orderkey").cast("string")).alias("id"))
     return R.value_counts(keyed, "id")

@@ -122,10 +122,16 @@ VIEWS: dict[str, str] = {
         from talhao where tem_geom""",
     "caixa_m": """
         select *, (bx - bh) * 111320 x1, (bx + bh) * 111320 x2, (byy - bh) * 111320 y1, (byy + bh) * 111320 y2 from caixa""",
+    # Parcels (under 400 m wide) and boxes meet in buckets of 4 km: a parcel is in the bucket of its corner, a box in all within reach.
+    "talhao_b": "select *, floor(x1 / 4000)::bigint ix, floor(y1 / 4000)::bigint iy from talhao_m",
+    "caixa_b": """
+        select *, unnest(range(floor((y1 - 1400) / 4000)::bigint, floor((y2 + 1000) / 4000)::bigint + 1)) iy
+        from (select *, unnest(range(floor((x1 - 1400) / 4000)::bigint, floor((x2 + 1000) / 4000)::bigint + 1)) ix from caixa_m)""",
     "par": """
         select t.id talhao_id, c.p, c.p_size, c.p_type, greatest(t.x1 - c.x2, c.x1 - t.x2, 0) gx, greatest(t.y1 - c.y2, c.y1 - t.y2, 0) gy,
           greatest(least(t.x2, c.x2) - greatest(t.x1, c.x1), 0) * greatest(least(t.y2, c.y2) - greatest(t.y1, c.y1), 0) area_m2
-        from talhao_m t join caixa_m c on t.x1 <= c.x2 + 1000 and c.x1 <= t.x2 + 1000 and t.y1 <= c.y2 + 1000 and c.y1 <= t.y2 + 1000""",
+        from talhao_b t join caixa_b c on t.ix = c.ix and t.iy = c.iy
+          and t.x1 <= c.x2 + 1000 and c.x1 <= t.x2 + 1000 and t.y1 <= c.y2 + 1000 and c.y1 <= t.y2 + 1000""",
     "vizinho": "select *, sqrt(gx * gx + gy * gy) dist from par where sqrt(gx * gx + gy * gy) <= 1000",
     "negada": """
         select lpad((p_partkey % 700 * 31)::varchar, 11, '0') cpf, max_by('MTE-' || p_partkey, p_partkey) inscricao,

@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from plotproof.functions import geometry as G
 from plotproof.functions.numbers import round_half_up
 from plotproof.operators import relational as R
-from plotproof.operators.spatial import distinct_geometries, spatial_pairs
+from plotproof.operators.spatial import distinct_geometries, geometry_key, spatial_pairs
 from plotproof.plans import checks as C
 from plotproof.plans import facts as X
 from plotproof.plans import findings as FD
@@ -214,7 +215,7 @@ def _(d):
     right = distinct_geometries(d.protegida, crs="plane", extra=[F.count("*").alias("n")])
     pairs = spatial_pairs(left, right, box_shortcut=False).where("intersects")
     per = pairs.groupBy("l_gkey").agg(F.sum("r_n").alias("areas"), F.sum(F.col("area") * F.col("r_n")).alias("m2"))
-    return d.talhao.join(per, F.col("geom_wkt") == F.col("l_gkey")).select(
+    return d.talhao.join(per, geometry_key("geom_wkt") == F.col("l_gkey")).select(
         F.col("id").alias("talhao_id"), "areas", round_half_up(F.col("m2"), 0).alias("area_m2")
     )
 
@@ -224,11 +225,51 @@ def _(d):
     left = distinct_geometries(d.talhao, crs="plane")
     right = distinct_geometries(d.embargo, crs="plane")
     pairs = spatial_pairs(left, right, 500.0).select("l_gkey", "r_gkey", "distance")
-    t = d.talhao.select(F.col("id").alias("talhao_id"), F.col("geom_wkt").alias("l_gkey"))
-    e = d.embargo.select(F.col("NUM_TAD").alias("num_tad"), F.col("geom_wkt").alias("r_gkey"))
+    t = d.talhao.select(F.col("id").alias("talhao_id"), geometry_key("geom_wkt").alias("l_gkey"))
+    e = d.embargo.select(F.col("NUM_TAD").alias("num_tad"), geometry_key("geom_wkt").alias("r_gkey"))
     return pairs.join(t, "l_gkey").join(e, "r_gkey").select("talhao_id", "num_tad", round_half_up(F.col("distance"), 1).alias("distancia_m"))
 
 
+@query("spatial_circle_areas", f"""
+    select p, {half_up("power(bh * 111320, 2) * case p % 3 when 0 then 1 when 1 then 32 * sin(2 * pi() / 64) else 16 * sin(2 * pi() / 64) end", 1)} area_m2
+    from caixa""")
+def _(d):
+    """Circles of 64 sides and boxes within, around and half over them: areas in closed form."""
+    boxes = d._boxes()
+    circles = boxes.select(F.col("p_partkey").alias("p"), G.to_wkt(G.circle(F.col("bx"), F.col("by"), F.col("bh"))).alias("geom_wkt"))
+    kind, r = F.col("p_partkey") % 3, F.col("bh")
+    half = F.when(kind == 0, r / 2).otherwise(r * 1.5)
+    left, right = F.when(kind == 2, F.col("bx")).otherwise(F.col("bx") - half), F.col("bx") + F.when(kind == 2, r * 3).otherwise(half)
+    low, high = F.col("by") - half, F.col("by") + half
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((left, low), (right, low), (right, high), (left, high), (left, low))])
+    frames = boxes.select(F.col("p_partkey").alias("p"), G.to_wkt(F.array(F.array(ring))).alias("geom_wkt"))
+    a, b = (distinct_geometries(x, crs="plane", extra=[F.min("p").alias("p")]) for x in (circles, frames))
+    own = spatial_pairs(a, b).where("l_p = r_p")
+    return own.select(F.col("l_p").alias("p"), round_half_up(F.col("area"), 1).alias("area_m2"))
+
+
+_KRUGER = """
+    with c as (select k, radians(cx + 51) l, sin(radians(cy)) s from talhao where tem_geom),
+    t as (select k, l, sinh(atanh(s) - 0.0818191910428158 * atanh(0.0818191910428158 * s)) t from c),
+    a as (select k, atan2(t, cos(l)) xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) eta from t),
+    f as (select 1 / 298.257222101 / (2 - 1 / 298.257222101) n),
+    j as (select 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) r, n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180 a1,
+            13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440 a2, 61 * n**3 / 240 - 103 * n**4 / 140 a3, 49561 * n**4 / 161280 a4 from f)"""
+
+
+@query("parcel_utm_centres", f"""
+    select k::varchar talhao_id,
+      {half_up("500000 + 0.9996 * r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta))", 2)} leste,
+      {half_up("10000000 + 0.9996 * r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta))", 2)} norte
+    from ({_KRUGER} select * from a, j)""")
+def _(d):
+    """Centres of the parcels in metres of the reference's zone, against the series written in SQL."""
+    k = F.col("o_orderkey")
+    lon, lat = -54 + ((k * 7919) % 20000).cast("double") / 10000, -4 + ((k * 104729) % 10000).cast("double") / 10000
+    rows = d.raw("orders").where(k % 211 != 5).select(k.cast("string").alias("talhao_id"), G.utm22s(lon, lat).alias("m"))
+    return rows.select("talhao_id", round_half_up(F.col("m.x"), 2).alias("leste"), round_half_up(F.col("m.y"), 2).alias("norte"))
+
+
 @query("parcels_near_new_polygons", f"select talhao_id, {half_up('min(dist)', 1)} distancia_m from vizinho where dist <= 500 group by 1")
 def _(d):
     from plotproof.streaming.watch import affected_parcels

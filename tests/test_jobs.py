@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plotproof.catalog import default_params, load_params
 from plotproof.operators import tables as TB
 from plotproof.operators.ranking import positions
-from plotproof.operators.spatial import distinct_geometries, spatial_pairs
+from plotproof.operators.spatial import distinct_geometries, geometry_key, spatial_pairs
 from plotproof.plans import checks as C
 from plotproof.plans import dossier as O
 from plotproof.plans import exceptions as E
@@ -88,7 +88,7 @@ def test_spatial_join_matches_brute_force_on_copies_and_sizes(spark):
     for shortcut in (True, False):
         pairs = spatial_pairs(distinct_geometries(a, crs="plane"), distinct_geometries(b, crs="plane"), 50000.0, 60000.0, shortcut)
         got = {
-            (r["id"], r["rid"]) for r in pairs.join(a, F.col("l_gkey") == a["geom_wkt"]).join(b, F.col("r_gkey") == b["geom_wkt"]).select("id", "rid").collect()
+            (r["id"], r["rid"]) for r in pairs.join(a, F.col("l_gkey") == geometry_key(a["geom_wkt"])).join(b, F.col("r_gkey") == geometry_key(b["geom_wkt"])).select("id", "rid").collect()
         }
 
         def edges(w):
