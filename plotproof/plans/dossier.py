@@ -17,7 +17,8 @@ from plotproof.functions import report
 from plotproof.functions.geometry import vertex_mean
 from plotproof.operators.latest import first_by, latest_aptitude
 from plotproof.operators.relational import exceptions_of_lots, top_per_group
-from plotproof.schemas import key_id
+from plotproof.operators.tables import events
+from plotproof.schemas import conform, key_id
 
 
 def severity_counts(lote_talhao: DataFrame, current: DataFrame) -> DataFrame:
@@ -351,6 +352,23 @@ def lot_report(totals: DataFrame, leg_rows: DataFrame, categories: DataFrame, re
     return out
 
 
-def write_snapshot(rows: DataFrame, path: str, version: Column) -> None:
-    """Snapshot rows partitioned by lot and version; ``rebalance`` lets AQE split a hot lot."""
-    rows.withColumn("versao", version).hint("rebalance", "lote_id").write.mode("append").partitionBy("lote_id", "versao").parquet(path)
+def approve(dossie: DataFrame, approvals: DataFrame, moment: Column) -> tuple[DataFrame, DataFrame]:
+    """Approvals of drafts by a person (``id`` of the dossier, ``nome``): next dossier table and audit rows.
+
+    The content hash stays: what is approved is the version as it was written. A dossier that is
+    approved already, or is not there, changes nothing and gives no audit row; of several approvals of one the first name counts.
+    """
+    once = approvals.groupBy("id").agg(F.min("nome").alias("_nome"))
+    joined = dossie.join(once, "id", "left")
+    done = F.col("_nome").isNotNull() & (F.col("status") != "aprovado")
+    table = joined.withColumns(
+        {
+            "status": F.when(done, "aprovado").otherwise(F.col("status")),
+            "aprovado_por": F.when(done, F.col("_nome")).otherwise(F.col("aprovado_por")),
+        }
+    )
+    acts = joined.where(done).select(
+        F.lit("humano").alias("ator"), F.lit("dossie_aprovado").alias("acao"), F.lit("dossie").alias("entidade"), F.col("id").alias("entidade_id"),
+        F.format_string("dossie do lote %s, versao %d, aprovado por %s", "lote_id", "versao", "_nome").alias("detalhe"),
+    )
+    return conform(table, "dossie"), events(acts, moment)
