@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotproof.functions import report
 from plotproof.operators.latest import latest_checks
-from plotproof.operators.ranking import positions
+from plotproof.operators.ranking import positions_by_range
 from plotproof.schemas import equal_filter
 
 
@@ -188,14 +188,9 @@ def last_events(evento: DataFrame, n: int = 200) -> DataFrame:
     return evento.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
 
 
-def documents_in_order(documento: DataFrame, prefix: int = 32) -> DataFrame:
-    """All documents of every producer with their position by file, then id.
-
-    Files that share their first ``prefix`` characters are ranked together in one task;
-    the others meet as counts only.
-    """
-    start = F.substring("arquivo_origem", 1, prefix)
-    return positions(documento, ["produtor_id"], ["arquivo_origem", "id"], "posicao", [start])
+def documents_in_order(documento: DataFrame) -> DataFrame:
+    """All documents of every producer with their position by file, then id."""
+    return positions_by_range(documento, ["produtor_id"], ["arquivo_origem", "id"], "posicao")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n) -> DataFrame:

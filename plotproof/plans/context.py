@@ -47,7 +47,15 @@ class Context:
     @cached_property
     def docs(self) -> DataFrame:
         """Documents with their extracted fields, parsed once per run."""
-        return parse_documents(self.documento)
+        return materialise(parsed_documents(self.documento), "documents")
+
+    def fields(self, *names: str) -> DataFrame:
+        """Only these fields of the documents, for a job that reads them once.
+
+        Taken from the written table when the run has one; otherwise parsed on the way, where
+        Spark reads no more than the fields need: no JSON where none of them comes from it.
+        """
+        return (self.docs if "docs" in self.__dict__ else parsed_documents(self.documento)).select(*names)
 
 
 def field_value(name: str) -> Column:
@@ -61,16 +69,16 @@ def with_fields(documento: DataFrame) -> DataFrame:
     return documento.withColumn("f", F.from_json("campos_json", schema))
 
 
-def parse_documents(documento: DataFrame) -> DataFrame:
-    """Typed, normalised fields of every document as a slim table.
+def parsed_documents(documento: DataFrame) -> DataFrame:
+    """Typed, normalised fields of every document.
 
-    Several fact builders read documents; the JSON is parsed once, written in
-    columns to the shared folder, and each reader then scans only what it needs.
+    A run of several fact builders writes them once in columns (``Context.docs``), and each
+    reader scans what it needs; a job of one reader takes ``Context.fields``.
     """
     d = with_fields(documento)
     area = lenient_number(field_value("area_ha"))
     blank = F.lit("")
-    slim = d.select(
+    return d.select(
         "id", "produtor_id", "talhao_id", "tipo", "status", "arquivo_origem", "data_emissao", "data_validade",
         digits(field_value("cpf_titular")).alias("cpf_titular"),
         digits(field_value("cpf_emitente")).alias("cpf_emitente"),
@@ -88,4 +96,3 @@ def parse_documents(documento: DataFrame) -> DataFrame:
         lenient_date(field_value("vigencia_inicio")).alias("vigencia_inicio"),
         lenient_date(field_value("vigencia_fim")).alias("vigencia_fim"),
     )
-    return materialise(slim, "documents")

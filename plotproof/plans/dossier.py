@@ -162,6 +162,25 @@ def aptitude_block(links: DataFrame, aptidao: DataFrame) -> DataFrame:
     )
 
 
+def aptitude_layers(links: DataFrame, aptidao: DataFrame) -> DataFrame:
+    """Per lot and producer: the five layers (``camada``, ``satisfeita``, ``forca``), open ones and those closed weakly.
+
+    A layer that was never evaluated is open; a lot's producers stay rows, only the layers nest.
+    """
+    last = latest_aptitude(aptidao).select("produtor_id", F.struct("camada", "satisfeita", "forca").alias("c"))
+    own = last.groupBy("produtor_id").agg(*[F.max(F.when(F.col("c.camada") == k, F.col("c"))).alias(f"_{k}") for k in range(1, 6)])
+    none = lambda k: F.struct(F.lit(k).alias("camada"), F.lit(False).alias("satisfeita"), F.lit(None).cast("string").alias("forca"))
+    layers = F.array(*[F.coalesce(F.col(f"_{k}"), none(k)) for k in range(1, 6)])
+    rows = links.join(own, "produtor_id", "left").select("lote_id", "produtor_id", layers.alias("camadas"))
+    closed = lambda c: F.coalesce(c["satisfeita"], F.lit(False))
+    return rows.withColumns(
+        {
+            "abertas": F.size(F.filter("camadas", lambda c: ~closed(c))),
+            "fracas": F.size(F.filter("camadas", lambda c: closed(c) & F.coalesce(c["forca"] == "fraca", F.lit(False)))),
+        }
+    )
+
+
 def custody_chain(lote: DataFrame, lote_talhao: DataFrame, talhao: DataFrame, documento: DataFrame, links: DataFrame) -> DataFrame:
     """producer > parcel, parcel > lot and lot > container, each with its first supporting document."""
     land = F.col("tipo").rlike("^(car_|matricula|titulo|contrato_arrendamento|declaracao_posse|ccir)")

@@ -418,7 +418,7 @@ def shipments(ctx: Context) -> DataFrame:
 
 def expired_at_shipping(ctx: Context) -> DataFrame:
     """Per (parcel, lot): documents expired before shipping and the longest delay in days."""
-    typed = ctx.docs.where(~F.coalesce("tipo", F.lit("desconhecido")).isin(*UNTYPED))
+    typed = ctx.fields("produtor_id", "tipo", "data_validade").where(~F.coalesce("tipo", F.lit("desconhecido")).isin(*UNTYPED))
     dates = typed.select("produtor_id", F.col("data_validade").alias("dia"))
     ship = shipments(ctx)
     counted = count_earlier(dates, ship)
@@ -431,7 +431,7 @@ def expired_at_shipping(ctx: Context) -> DataFrame:
 
 def contracts_outside_validity(ctx: Context) -> DataFrame:
     """Per (parcel, lot): lease contracts whose validity does not cover the shipping day."""
-    c = ctx.docs.where("tipo = 'contrato_arrendamento'").select(
+    c = ctx.fields("produtor_id", "tipo", "vigencia_inicio", "vigencia_fim").where("tipo = 'contrato_arrendamento'").select(
         "produtor_id", F.col("vigencia_inicio").alias("ini"), F.col("vigencia_fim").alias("fim")
     )
     swapped = F.coalesce(F.col("ini") > F.col("fim"), F.lit(False))

@@ -99,7 +99,7 @@ TITLES = dict(zip(DOC_CYCLE, (
 def texts(d):
     """One text file per document row, with the row's values under labels."""
     p = d.produtor.select(F.col("id").alias("produtor_id"), "slug")
-    doc = d.documento.where("true").join(p, "produtor_id")
+    doc = d.documento.join(p, "produtor_id")
     g = lambda k: F.get_json_object("campos_json", f"$.{k}")
     cpf = F.regexp_replace(g("cpf"), r"^(\d{3})(\d{3})(\d{3})(\d{2})$", "$1.$2.$3-$4")
     title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[F.col("tipo")]
@@ -332,14 +332,20 @@ def _(d):
     return O.report_samples(d.lote_talhao, latest_checks(d.checagem)).select("lote_id", "talhao_id", "codigo", "resultado")
 
 
-_CATS = {
-    "a": ("matricula_imovel titulo_assentamento declaracao_posse contrato_arrendamento ccir itr sigef", "03"),
-    "b": ("car_recibo car_demonstrativo licenca_ambiental", "02 03"), "c": ("pmfs", ""), "d": ("certidao_acoes_reais", "02 04"),
-    "e": ("cndt", "07"), "f": ("consulta_acp", "04 07"), "g": ("ata_consulta_previa", "04"),
-    "h": ("nota_fiscal_produtor inscricao_estadual cndt due_embarque", "06"),
+# Document types and checks that speak for each legality category.
+CATEGORY_TYPES = {
+    "a": ["matricula_imovel", "titulo_assentamento", "declaracao_posse", "contrato_arrendamento", "ccir", "itr", "sigef"],
+    "b": ["car_recibo", "car_demonstrativo", "licenca_ambiental"],
+    "c": ["pmfs"],
+    "d": ["certidao_acoes_reais"],
+    "e": ["cndt"],
+    "f": ["consulta_acp"],
+    "g": ["ata_consulta_previa"],
+    "h": ["nota_fiscal_produtor", "inscricao_estadual", "cndt", "due_embarque"],
 }
-VIEWS["cat_doc"] = " union all ".join(f"select '{k}' letra, unnest(string_split('{t}', ' ')) tipo" for k, (t, _) in _CATS.items())
-VIEWS["cat_chk"] = " union all ".join(f"select '{k}' letra, unnest(string_split('{c}', ' ')) codigo" for k, (_, c) in _CATS.items() if c)
+CATEGORY_CHECKS = {"a": ["03"], "b": ["02", "03"], "d": ["02", "04"], "e": ["07"], "f": ["04", "07"], "g": ["04"], "h": ["06"]}
+VIEWS["cat_doc"] = " union all ".join(f"select '{k}' letra, unnest({v}) tipo" for k, v in CATEGORY_TYPES.items())
+VIEWS["cat_chk"] = " union all ".join(f"select '{k}' letra, unnest({v}) codigo" for k, v in CATEGORY_CHECKS.items())
 
 
 @query("dossier_legality_categories", """
@@ -363,6 +369,30 @@ def _(d):
     return O.aptitude_block(_links(d), d.aptidao)
 
 
+@query("dossier_aptitude_layers", """
+    with u as (select * from aptidao qualify row_number() over (partition by produtor_id, camada order by avaliado_em desc, id desc) = 1)
+    select lote_id, e.produtor_id, camada, coalesce(satisfeita, false) satisfeita, forca,
+      count(*) filter (not coalesce(satisfeita, false)) over p abertas, count(*) filter (satisfeita and forca = 'fraca') over p fracas
+    from elo e cross join (select unnest([1, 2, 3, 4, 5])::int camada) left join u using (produtor_id, camada)
+    window p as (partition by lote_id, e.produtor_id)""")
+def _(d):
+    """Five layers of every producer of every lot."""
+    rows = O.aptitude_layers(_links(d), d.aptidao).select("lote_id", "produtor_id", F.inline("camadas"), "abertas", "fracas")
+    return rows.select("lote_id", "produtor_id", "camada", F.coalesce("satisfeita", F.lit(False)).alias("satisfeita"), "forca", *[F.col(c).cast("long").alias(c) for c in ("abertas", "fracas")])
+
+
+@query("dossier_approval", """
+    select id, case when status = 'aprovado' or versao % 2 = 0 then 'aprovado' else status end status,
+      case when status <> 'aprovado' and versao % 2 = 0 then 'Fiscal ' || (versao % 3) end aprovado_por,
+      (status <> 'aprovado' and versao % 2 = 0)::int registros from dossie""")
+def _(d):
+    """Approval of every second version by a person, with its audit rows."""
+    asked = d.dossie.where("versao % 2 = 0").select("id", F.concat(F.lit("Fiscal "), (F.col("versao") % 3).cast("string")).alias("nome"))
+    table, acts = O.approve(d.dossie, asked, moment())
+    logged = acts.groupBy(F.col("entidade_id").alias("id")).agg(F.count("*").cast("int").alias("registros"))
+    return table.join(logged, "id", "left").select("id", "status", "aprovado_por", F.coalesce("registros", F.lit(0)).alias("registros"))
+
+
 @query("dossier_custody_chain", """
     with f as (select produtor_id, min_by(id, arquivo_origem) filter (tipo in ('car_recibo','car_demonstrativo','matricula_imovel','titulo_assentamento','contrato_arrendamento','declaracao_posse','ccir')) posse,
         min_by(id, arquivo_origem) filter (tipo = 'nota_fiscal_produtor') nota, min(arquivo_origem) filter (tipo = 'due_embarque') due,
@@ -425,7 +455,7 @@ def _snapshots(d):
     return before, after
 
 
-@query("dossier_snapshot_diff", """
+_CHANGES = """
     with antes as (select * from checagem where seq % 4 <> 3 qualify row_number() over (partition by talhao_id, codigo order by seq desc) = 1),
     ta as (select lote_id, talhao_id from lote_talhao where quantidade_kg <> 2500),
     entrou as (select lote_id, talhao_id from lote_talhao where quantidade_kg = 2500),
@@ -439,12 +469,28 @@ def _snapshots(d):
       union all select lote_id, 'resultado', case when ra.resultado is null then 'incluido' when rb.resultado is null then 'retirado' else 'mudou' end
         from ra full join rb using (lote_id, talhao_id, codigo) where ra.resultado is distinct from rb.resultado
       union all select lote_id, 'documento', case when da.s is null then 'incluido' when db.s is null then 'retirado' else 'mudou' end
-        from da full join db using (lote_id, conteudo) where da.s is distinct from db.s) group by 1, 2, 3""")
+        from da full join db using (lote_id, conteudo) where da.s is distinct from db.s) group by 1, 2, 3"""
+
+
+@query("dossier_snapshot_diff", _CHANGES)
 def _(d):
     before, after = _snapshots(d)
     return O.diff(before, after).groupBy("lote_id", "secao", "mudanca").agg(F.count("*").alias("n"))
 
 
+@query("dossier_snapshot_store", _CHANGES)
+def _(d):
+    """Two versions written to the store, read back by their manifest and compared."""
+    from plotproof.plans.snapshots import SnapshotStore
+    from plotproof.session import scratch_path
+
+    store, lots = SnapshotStore(d.spark, scratch_path(d.spark, "instantaneos")), d.lote.select(F.col("id").alias("lote_id"))
+    for version, rows in enumerate(_snapshots(d), 1):
+        store.write(rows, lots.withColumn("versao", F.lit(version)), f"v{version}")
+    first, second = (store.version(lots.withColumn("versao", F.lit(k))).drop("versao") for k in (1, 2))
+    return O.diff(first, second).groupBy("lote_id", "secao", "mudanca").agg(F.count("*").alias("n"))
+
+
 @query("dossier_new_versions", """
     select l.id lote_id, coalesce(max(versao), 0) + 1 versao, 'rascunho' status, (select count(*) from lote_talhao b where b.lote_id = l.id) linhas
     from lote l left join dossie d on d.lote_id = l.id where l.id in (select lote_id from lote_talhao) group by 1""")
@@ -621,15 +667,50 @@ def _(d):
     return _rechecked(d, _layer_delta(d))
 
 
+@query("watcher_lot_delta", """
+    with afetado as (select distinct talhao_id from vizinho where dist <= 500 and p_size > 45),
+    atual as (
+      select talhao_id, posto from corrente where talhao_id not in (select talhao_id from afetado)
+      union all select talhao_id, list_position(['conforme','excecao','bloqueio'], resultado) - 1 from checado where talhao_id in (select talhao_id from afetado)),
+    pior as (select talhao_id, max(posto) posto from atual group by 1),
+    tocado as (select distinct lote_id from lote_talhao where talhao_id in (select talhao_id from afetado)),
+    novo as (
+      select b.lote_id, coalesce(max(posto), 0) posto from lote_talhao b join tocado using (lote_id) left join pior using (talhao_id) group by 1),
+    versoes as (select lote_id, max(versao) v from dossie group by 1)
+    select n.lote_id, l.status status_anterior, ['verde','atencao','bloqueado'][posto + 1] status,
+      case when posto + 1 > list_position(['verde','atencao','bloqueado'], l.status) then 'piorou' else 'melhorou' end sentido, coalesce(v, 0) + 1 versao
+    from novo n join lote l on l.id = n.lote_id left join versoes v on v.lote_id = n.lote_id where ['verde','atencao','bloqueado'][posto + 1] <> l.status""", once=True)
+def _(d):
+    """Two cycles of the whole loop: lots whose status moved by new polygons, and their new dossier versions."""
+    import datetime as dt
+
+    from plotproof.session import scratch_path
+    from plotproof.streaming import surveillance as V
+
+    def polygons(where):
+        return W.embargo_polygons(d.embargo.join(d._boxes().where(where).select("geom_wkt"), "geom_wkt", "left_semi"))
+
+    layer = {"now": polygons("p_size <= 45")}
+    loop = V.Surveillance(
+        d.spark, scratch_path(d.spark, "vigilancia"), lambda: layer["now"], lambda: context(d), {"checagem": d.checagem, "dossie": d.dossie},
+        layers=lambda: ["embargo"], clock=lambda: dt.datetime(2001, 6, 30), crs="plane")
+    loop.cycle(0)
+    layer["now"] = polygons("p_size >= 3")
+    loop.cycle(1)
+    made = loop.rows("dossie", V.TABLES["dossie"]).select("lote_id", "versao")
+    return loop.rows("lote", V.MOVED).join(made, "lote_id").select("lote_id", "status_anterior", "status", "sentido", "versao")
+
+
 @query("live_action_counters", "select acao, count(*) n from evento group by 1")
 def _(d):
-    """The audit log as a stream, counted to completion in complete mode."""
+    """The audit log as a stream, counted to completion in complete mode, each batch's counts replacing the table."""
     from plotproof.session import scratch_path
     from plotproof.streaming.counters import action_counts, event_stream
 
-    path, out = scratch_path(d.spark, "events"), "contadores_" + scratch_path(d.spark, "x").rsplit("-", 1)[1]
+    path, out = scratch_path(d.spark, "events"), scratch_path(d.spark, "contadores")
     d.evento.write.parquet(path)
-    q = action_counts(event_stream(d.spark, path)).writeStream.outputMode("complete").format("memory").queryName(out).option(
-        "checkpointLocation", scratch_path(d.spark, "ck")).trigger(availableNow=True).start()
+    q = action_counts(event_stream(d.spark, path)).writeStream.outputMode("complete").foreachBatch(
+        lambda counts, n: counts.write.mode("overwrite").parquet(out)
+    ).option("checkpointLocation", scratch_path(d.spark, "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return d.spark.table(out)
+    return d.spark.read.schema("acao string, n long").parquet(out)

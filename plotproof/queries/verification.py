@@ -322,22 +322,22 @@ def _(d):
 # ---- pairwise rules without pairs -----------------------------------------------
 @query("rule_invoice_holder_pairs", "select produtor_id, count(*) pares from par_cpf group by 1")
 def _(d):
-    return X.invoice_holder_conflicts(context(d).docs)
+    return X.invoice_holder_conflicts(context(d).fields("produtor_id", "tipo", "cpf_titular", "cpf_emitente"))
 
 
 @query("rule_suspicious_duplicates", "select produtor_id, count(*) pares from par_dup group by 1")
 def _(d):
-    return X.suspicious_duplicates(context(d).docs, context(d).params)
+    return X.suspicious_duplicates(context(d).fields("produtor_id", "tipo", "numero", "data_emissao"), context(d).params)
 
 
 @query("rule_names_per_cpf", "select * from nome_cpf")
 def _(d):
-    return X.cpf_name_conflicts(context(d).docs)
+    return X.cpf_name_conflicts(context(d).fields("produtor_id", "cpf_titular", "com_nome", "proprietario"))
 
 
 @query("rule_repeated_invoices", "select * from nota_rep")
 def _(d):
-    return X.repeated_invoices(context(d).docs)
+    return X.repeated_invoices(context(d).fields("produtor_id", "tipo", "numero", "serie"))
 
 
 @query("expired_at_shipping", """

@@ -8,49 +8,121 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {
-    "s": T.StringType(),
-    "d": T.DoubleType(),
-    "i": T.IntegerType(),
-    "l": T.LongType(),
-    "b": T.BooleanType(),
-    "date": T.DateType(),
-    "ts": T.TimestampType(),
-    "s[]": T.ArrayType(T.StringType()),
-}
+STRING, DOUBLE, INT, LONG = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
+BOOLEAN, DATE, TIMESTAMP = T.BooleanType(), T.DateType(), T.TimestampType()
 
 
-def _table(spec: str) -> T.StructType:
-    fields = []
-    for item in spec.split():
-        name, _, kind = item.partition(":")
-        fields.append(T.StructField(name, _KINDS[kind or "s"]))
-    return T.StructType(fields)
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 # Table and column names of the domain data model.
 TABLES: dict[str, T.StructType] = {
-    "produtor": _table("id nome cpf municipio uf cooperativa slug"),
-    "talhao": _table("id produtor_id nome area_ha:d geom_wkt tipo_geom car_numero car_situacao"),
+    "produtor": _table(
+        id=STRING,
+        nome=STRING,
+        cpf=STRING,
+        municipio=STRING,
+        uf=STRING,
+        cooperativa=STRING,
+        slug=STRING,
+    ),
+    "talhao": _table(
+        id=STRING,
+        produtor_id=STRING,
+        nome=STRING,
+        area_ha=DOUBLE,
+        geom_wkt=STRING,
+        tipo_geom=STRING,
+        car_numero=STRING,
+        car_situacao=STRING,
+    ),
     "documento": _table(
-        "id produtor_id talhao_id arquivo_origem arquivo_padronizado tipo campos_json"
-        " data_emissao:date data_validade:date hash_sha256 confianca:d status versao:i"
+        id=STRING,
+        produtor_id=STRING,
+        talhao_id=STRING,
+        arquivo_origem=STRING,
+        arquivo_padronizado=STRING,
+        tipo=STRING,
+        campos_json=STRING,
+        data_emissao=DATE,
+        data_validade=DATE,
+        hash_sha256=STRING,
+        confianca=DOUBLE,
+        status=STRING,
+        versao=INT,
+    ),
+    "lote": _table(
+        id=STRING,
+        codigo=STRING,
+        commodity=STRING,
+        safra=STRING,
+        quantidade_kg=DOUBLE,
+        comprador=STRING,
+        data_embarque=DATE,
+        status=STRING,
+    ),
+    "lote_talhao": _table(
+        lote_id=STRING,
+        talhao_id=STRING,
+        quantidade_kg=DOUBLE,
     ),
-    "lote": _table("id codigo commodity safra quantidade_kg:d comprador data_embarque:date status"),
-    "lote_talhao": _table("lote_id talhao_id quantidade_kg:d"),
     "checagem": _table(
-        "id talhao_id codigo perna resultado texto fonte data_execucao:ts evidencia_json"
-        " categoria severidade seq:l"
+        id=STRING,
+        talhao_id=STRING,
+        codigo=STRING,
+        perna=STRING,
+        resultado=STRING,
+        texto=STRING,
+        fonte=STRING,
+        data_execucao=TIMESTAMP,
+        evidencia_json=STRING,
+        categoria=STRING,
+        severidade=STRING,
+        seq=LONG,
+    ),
+    "aptidao": _table(
+        id=STRING,
+        produtor_id=STRING,
+        camada=INT,
+        satisfeita=BOOLEAN,
+        via_documento_id=STRING,
+        forca=STRING,
+        avaliado_em=TIMESTAMP,
     ),
-    "aptidao": _table("id produtor_id camada:i satisfeita:b via_documento_id forca avaliado_em:ts"),
     "excecao": _table(
-        "id tipo talhao_id documento_id lotes_afetados:s[] descricao natureza status"
-        " resolvido_por resolvido_em:ts"
+        id=STRING,
+        tipo=STRING,
+        talhao_id=STRING,
+        documento_id=STRING,
+        lotes_afetados=T.ArrayType(STRING),
+        descricao=STRING,
+        natureza=STRING,
+        status=STRING,
+        resolvido_por=STRING,
+        resolvido_em=TIMESTAMP,
     ),
     "dossie": _table(
-        "id lote_id versao:i gerado_em:ts status aprovado_por hash_sha256 caminho_pdf caminho_html diff"
+        id=STRING,
+        lote_id=STRING,
+        versao=INT,
+        gerado_em=TIMESTAMP,
+        status=STRING,
+        aprovado_por=STRING,
+        hash_sha256=STRING,
+        caminho_pdf=STRING,
+        caminho_html=STRING,
+        diff=STRING,
+    ),
+    "evento": _table(
+        id=STRING,
+        timestamp=TIMESTAMP,
+        ator=STRING,
+        acao=STRING,
+        entidade=STRING,
+        entidade_id=STRING,
+        detalhe=STRING,
     ),
-    "evento": _table("id timestamp:ts ator acao entidade entidade_id detalhe"),
 }
 
 # Vocabularies of the exception type and of the event actor.
