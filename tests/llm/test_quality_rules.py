@@ -98,3 +98,50 @@ def test_rules_together_reject_no_more_good_documents_than_one_may(spark):
     rows += [row(n + i, 0, **{c: 950}) for i, c in enumerate(columns) for _ in range(40 - 5 * i)]
     got = choose_cutoffs(spark.createDataFrame(rows), "idioma").collect()
     assert [(r["regra"], r["n_recusadas"], r["n_ruins"]) for r in got] == [("simbolos", each, 40)]
+
+
+def brute_choice(rows, rate_bound=0.01, confidence=0.95):
+    """The joint choice in plain Python: {(stratum, rule): cutoff}."""
+    levels = lambda r: [sum(1000 * r[a] / max(r[b], 1) > c for c in CUTOFFS) for a, b in RULES.values()]
+    strata = {r["idioma"] or "" for r in rows}
+    rules, out = list(RULES), {}
+
+    def log_tail(k, n):
+        return math.log(math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate_bound) + (n - i) * math.log(1 - rate_bound)) for i in range(k + 1)))
+
+    for s in strata:
+        good, poor = ([levels(r) for r in rows if (r["idioma"] or "") == s and r["qualidade"] == q] for q in (1, 0))
+        n, error = len(good), math.log((1 - confidence) / len(strata))
+        holds = lambda k, share: k < rate_bound * n and log_tail(k, n) <= share
+        valid, share = {}, 0.0
+        for r in range(len(rules)):
+            counts = [(sum(x[r] > c for x in poor), c, sum(x[r] > c for x in good)) for c in range(len(CUTOFFS))]
+            distinct = {b for b, _, _ in counts if b > 0}
+            share -= math.log(len(distinct) + 1) if distinct else 0.0
+            fits = [x for x in counts if n > 0 and x[0] > 0 and holds(x[2], error - math.log(len(rules) * len(CUTOFFS)))]
+            if fits:
+                valid[r] = sorted(fits, reverse=True)
+        taken = {}
+        for r in sorted(valid, key=lambda r: (-valid[r][0][0], r)):
+            for _, c, _ in valid[r]:
+                gone = sum(x[r] > c or any(x[q] > t for q, t in taken.items()) for x in good)
+                if holds(gone, error + share):
+                    taken[r] = c
+                    break
+        out.update({(s, rules[r]): CUTOFFS[c] for r, c in taken.items()})
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_joint_choice_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(6000):
+        quality = int(rng.random() < 0.9)
+        r = {"id": i, "idioma": rng.choice(["pt", "pt", "es", None]), "qualidade": quality, "reprovado_base": False, "n_caracteres": 1000, "n_palavras": 1000, "n_linhas": 1000}
+        for top in ("n_simbolos", "n_linhas_repetidas", "n_palavras_repetidas", "n_maiusculas", "n_barras"):
+            r[top] = rng.choice([8, 60, 250, 950]) if rng.random() < (0.002 if quality else 0.3) else rng.randint(0, 4)
+        rows.append(r)
+    got = {(r["estrato"], r["regra"]): r["corte"] for r in choose_cutoffs(spark.createDataFrame(rows), "idioma").collect()}
+    want = brute_choice(rows)
+    assert got == want and len(want) > 4
