@@ -296,7 +296,7 @@ def verify(ctx: Context) -> DataFrame:
             r["texto"].alias("texto"), F.concat(F.lit("regra "), r["codigo"]).alias("fonte"),
             r["categoria"].alias("categoria"), r["severidade"].alias("severidade"),
             F.lit("consistencia_documental").alias("natureza"), F.lit(None).cast("string").alias("tipo_excecao"),
-            F.lit(None).cast("string").alias("evidencia_json"),
+            r["evidencia_json"].alias("evidencia_json"),
         ),
     )
     rows = wide.select("talhao_id", "produtor_id", F.explode(F.concat(checks, rules)).alias("c")).select(

@@ -178,6 +178,38 @@ RULE_FUNCTIONS: dict[str, Callable[[Context], Finding]] = {
 }
 
 
+#: What of the wide row a rule's evidence holds; rules that pass on a check hold its result.
+EVIDENCE = {
+    "R01": ("cpf_recibo_min", "cpf_recibo_max", "cpf_nota_min", "cpf_nota_max"),
+    "R08": ("c07.resultado",),
+    "R09": ("n_cpf_nomes",),
+    "R11": ("area_ha", "t_min11", "p_min11"),
+    "R12": ("t_min12", "p_min12", "t_max12", "p_max12"),
+    "R13": ("c03.resultado",),
+    "R14": ("tipo_geom", "area_ha"),
+    "R16": ("c02.resultado",),
+    "R17": ("c01.resultado",),
+    "R18": ("areas_ti", "areas_ti_b"),
+    "R19": ("areas_uc", "areas_uc_b"),
+    "R21": ("mun_matricula_min", "mun_matricula_max", "mun_recibo_min", "mun_recibo_max"),
+    "R22": ("produtor_nome", "arrendatario_min", "arrendatario_max"),
+    "R29": ("car_situacao", "n_demos_inativos"),
+    "R31": ("validade_min", "embarque_max"),
+    "R32": ("n_datas_invertidas",),
+    "R33": ("inicio_max", "fim_min", "embarque_min", "embarque_max"),
+    "R45": ("n_notas_repetidas",),
+    "R46": ("n_duplicidades",),
+    "R47": ("n_ilegiveis", "n_divergentes"),
+    "R48": ("tipos",),
+}
+
+
+def _evidence(code: str, fires: Column) -> Column:
+    """JSON of what made the rule fire; null where it does not."""
+    fields = [F.col(c).alias(c.replace("c0", "checagem_0").replace(".resultado", "")) for c in EVIDENCE.get(code, ())]
+    return F.when(fires, F.to_json(F.struct(*fields))) if fields else F.lit(None).cast("string")
+
+
 def rule_column(ctx: Context) -> Column:
     """Array of rule results; a rule that cannot be evaluated counts as ``conforme``."""
     out = []
@@ -194,6 +226,7 @@ def rule_column(ctx: Context) -> Column:
                 sev.alias("severidade"),
                 F.lit(category).alias("categoria"),
                 F.when(fires, F.concat(F.lit(f"{code} - "), text)).otherwise(F.lit(f"{code} sem conflito")).alias("texto"),
+                _evidence(code, fires).alias("evidencia_json"),
             )
         )
     return F.array(*out)

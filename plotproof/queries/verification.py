@@ -330,6 +330,71 @@ def _(d):
     return X.suspicious_duplicates(context(d).fields("produtor_id", "tipo", "numero", "data_emissao"), context(d).params)
 
 
+def _ends_sql(name: str, kind: str, value: str) -> str:
+    return f"{name} as (select produtor_id, min([{value}, id]) lo, max([{value}, id]) hi from documento where tipo = '{kind}' and {value} <> '' group by 1)"
+
+
+def _unlike_sql(rule: str, a: str, b: str) -> str:
+    return f"""
+      select produtor_id, '{rule}' regra, case when {a}.lo[1] <> {b}.hi[1] then {a}.lo else {a}.hi end x, case when {a}.lo[1] <> {b}.hi[1] then {b}.hi else {b}.lo end y
+      from {a} join {b} using (produtor_id) where {a}.lo[1] <> {b}.hi[1] or {a}.hi[1] <> {b}.lo[1]"""
+
+
+_SINGLES = ", ".join(f"'{t.name}'" for t in Context.__dataclass_fields__["params"].default_factory().types if not t.multiple_expected)
+
+
+@query("rule_documents", f"""
+    with {_ends_sql("recibo", "car_recibo", "cpf")}, {_ends_sql("nota", "nota_fiscal_produtor", "cpf")},
+    {_ends_sql("matricula", "matricula_imovel", "municipio")}, {_ends_sql("carro_m", "car_recibo", "municipio")},
+    nomes as (
+      select produtor_id, min([nome, id]) lo, max([nome, id]) hi, row_number() over (partition by produtor_id order by cpf) r from documento
+      where cpf <> '' group by produtor_id, cpf having min(nome) <> max(nome)),
+    numerada as (
+      select produtor_id, id, concat_ws('/', coalesce(numero, ''), serie) chave from documento where tipo = 'nota_fiscal_produtor'),
+    repetida as (
+      select produtor_id, min([chave, id]) lo, max([chave, id]) hi, row_number() over (partition by produtor_id order by chave) r from numerada
+      group by produtor_id, chave having count(*) > 1),
+    unica as (
+      select produtor_id, id, tipo, data_emissao, coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then numero_car end) numero
+      from documento where tipo in ({_SINGLES}) and coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then numero_car end) is not null),
+    vizinha as (
+      select *, lag([numero, id]) over o a, lag(data_emissao) over o antes from unica where data_emissao is not null
+      window o as (partition by produtor_id, tipo order by data_emissao, numero, id)),
+    pontas as (
+      select produtor_id, tipo, min([numero, id]) filter (data_emissao is null) a, min([numero, id]) lo, max([numero, id]) hi from unica group by 1, 2),
+    perto as (
+      select produtor_id, 0 p, tipo, a, [numero, id] b from vizinha where a[1] <> numero and data_emissao - antes <= 30
+      union all select produtor_id, 1, tipo, a, case when hi[1] <> a[1] then hi else lo end from pontas where a is not null and (hi[1] <> a[1] or lo[1] <> a[1])),
+    todas as (
+      {_unlike_sql("R01", "recibo", "nota")} union all {_unlike_sql("R21", "matricula", "carro_m")}
+      union all select produtor_id, 'R09', lo, hi from nomes where r = 1 union all select produtor_id, 'R45', lo, hi from repetida where r = 1
+      union all select produtor_id, 'R32', min([data_validade::varchar, id]), null from documento where data_emissao > data_validade group by 1
+      union all (select produtor_id, 'R46', a, b from perto qualify row_number() over (partition by produtor_id order by p, tipo, a, b) = 1))
+    select produtor_id, regra, x[2] documento_id, y[2] outro_id, x[1] valor, y[1] outro_valor from todas""")
+def _(d):
+    from plotproof.plans.witnesses import rule_documents
+
+    return rule_documents(context(d))
+
+
+@query("embargo_terms_of_producers", """
+    select p.id produtor_id, p.cpf, 'TAD' || p_partkey num_tad, p_name embargado, p_brand municipio from part join produtor p on p.cpf = lpad((p_partkey * 13)::varchar, 11, '0')""")
+def _(d):
+    from plotproof.plans.witnesses import embargo_terms_of_producers
+
+    return embargo_terms_of_producers(context(d))
+
+
+@query("volume_lots", f"""
+    select b.talhao_id, b.lote_id, l.codigo, {half_up("b.quantidade_kg", 2)} quantidade_kg from lote_talhao b join lote l on l.id = b.lote_id
+    where b.talhao_id in (select talhao_id from chk06 where resultado <> 'conforme')""")
+def _(d):
+    from plotproof.plans.witnesses import volume_lots
+
+    flagged = C.check_rows(context(d), ("06",)).where("resultado <> 'conforme'")
+    return volume_lots(d.lote_talhao, d.lote, flagged).withColumn("quantidade_kg", round_half_up(F.col("quantidade_kg"), 2))
+
+
 @query("rule_names_per_cpf", "select * from nome_cpf")
 def _(d):
     return X.cpf_name_conflicts(context(d).fields("produtor_id", "cpf_titular", "com_nome", "proprietario"))
