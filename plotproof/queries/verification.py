@@ -355,8 +355,8 @@ _SINGLES = ", ".join(f"'{t.name}'" for t in Context.__dataclass_fields__["params
       select produtor_id, min([chave, id]) lo, max([chave, id]) hi, row_number() over (partition by produtor_id order by chave) r from numerada
       group by produtor_id, chave having count(*) > 1),
     unica as (
-      select produtor_id, id, tipo, data_emissao, coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then numero_car end) numero
-      from documento where tipo in ({_SINGLES}) and coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then numero_car end) is not null),
+      select produtor_id, id, tipo, data_emissao, coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then lower(numero_car) end) numero
+      from documento where tipo in ({_SINGLES}) and coalesce(numero, case when tipo in ('car_recibo', 'car_demonstrativo') then lower(numero_car) end) is not null),
     vizinha as (
       select *, lag([numero, id]) over o a, lag(data_emissao) over o antes from unica where data_emissao is not null
       window o as (partition by produtor_id, tipo order by data_emissao, numero, id)),
