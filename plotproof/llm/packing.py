@@ -25,8 +25,8 @@ from plotproof.llm import batches as B
 from plotproof.session import materialise
 
 #: Words a worker remembers the ids of, and the ids themselves: some 40 bytes a word in flat arrays.
-REMEMBERED = 1 << 18
-REMEMBERED_IDS = 1 << 21
+REMEMBERED = 1 << 19
+REMEMBERED_IDS = 1 << 22
 SLICE_BYTES = 1 << 20
 DENSE = 48
 ROUNDS = 300
