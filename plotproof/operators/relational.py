@@ -68,6 +68,12 @@ def producers_outside_lots(produtor: DataFrame, talhao: DataFrame, lote_talhao:
     return free.join(inside, "id", "left_anti").orderBy("id").limit(n)
 
 
+def allocations(lote_talhao: DataFrame, lote: DataFrame) -> DataFrame:
+    """Every allocation of a parcel with the code and shipping date of its lot; one of an unknown lot has neither."""
+    lots = lote.select(F.col("id").alias("lote_id"), F.col("codigo").alias("lote_codigo"), "data_embarque")
+    return lote_talhao.select("talhao_id", "lote_id", "quantidade_kg").join(lots, "lote_id", "left")
+
+
 def allocation_totals(lote_talhao: DataFrame, lote: DataFrame) -> DataFrame:
     """Allocated kg, lots and shipping span of each parcel, one pass over the bridge."""
     lots = lote.select(F.col("id").alias("lote_id"), "data_embarque")

@@ -77,6 +77,13 @@ def check_reports(lote_talhao: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumn("resultado", report.result_name(F.col("posto")))
 
 
+def report_sources(lote_talhao: DataFrame, current: DataFrame) -> DataFrame:
+    """All sources that a check report names: one row per lot, check code and source, with its rows."""
+    named = current.select("talhao_id", "codigo", F.nullif(F.trim("fonte"), F.lit("")).alias("fonte")).where("fonte is not null")
+    joined = lote_talhao.select("lote_id", "talhao_id").join(named, "talhao_id")
+    return joined.groupBy("lote_id", "codigo", "fonte").agg(F.count("*").alias("linhas"))
+
+
 def report_samples(lote_talhao: DataFrame, current: DataFrame, n: int = 3) -> DataFrame:
     """Occurrences of a check report: all non-conforming rows, else the first ``n`` rows."""
     joined = lote_talhao.select("lote_id", "talhao_id").join(current, "talhao_id")

@@ -12,4 +12,4 @@ def load():
     return registry
 
 
-MODULES = ("relational", "verification", "evidence")
+MODULES = ("relational", "verification", "evidence", "printed")

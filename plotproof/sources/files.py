@@ -47,6 +47,22 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def source_record(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """Record of a tabular source for its provenance: per file its bytes, SHA-256 and field list.
+
+    Works on one file or a folder of them. A file whose first line is empty has no fields; one
+    without any byte gives no row. Content is hashed where it is read, one file a row, so a file
+    may have 2 GB at most.
+    """
+    raw = spark.read.format("binaryFile").load(path)
+    first = F.regexp_extract(F.decode(F.substring("content", 1, 65536), "UTF-8"), r"^\ufeff?([^\r\n]*)", 1)
+    names = F.transform(F.split(first, F.lit("\\Q" + sep + "\\E")), lambda c: F.trim(F.trim(c), F.lit('"')))
+    return raw.select(
+        F.substring_index("path", "/", -1).alias("arquivo"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+        F.when(first == "", F.array().cast("array<string>")).otherwise(names).alias("campos"),
+    )
+
+
 def csv_text(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """CSV attachments as text: header and all rows of each file, or the first ``rows`` of them."""
     whole = spark.read.text(path, wholetext=True).withColumn("arquivo_origem", F.input_file_name())
