@@ -114,7 +114,7 @@ VIEWS["impresso"] = """
       cfop_ cfop, case when cfop_ in ('5102', '6102') then true end cfop_revenda,
       case when cfop_ in ('5102', '6102') then 'intermediario' when cfop_ is not null then 'produtor' end elo,
       (pk % 5000)::double + (ln % 4)::double / 4 quantidade_kg,
-      floor((0.3 + 0.2 + 0.25 + 0.05 * (1 + case when com_chave then 1 else 0 end + case when cfop_ is not null then 1 else 0 end)) * 100 + 0.5) / 100 confianca
+      floor((0.3 + 0.2 + case when not com_chave and cfop_ is null and sk % 2 = 1 and serie_impressa not between 920 and 969 then 0.24 else 0.25 end + 0.05 * (1 + case when com_chave then 1 else 0 end + case when cfop_ is not null then 1 else 0 end)) * 100 + 0.5) / 100 confianca
     from impresso where k = 0""")
 def _(d):
     c = lambda *names: [F.col(f"campos.{n}").alias(n) for n in names]
